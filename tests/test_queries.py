@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import frames_equal
+from compare import frames_equal
 
 from terragrain import queries as q
 
