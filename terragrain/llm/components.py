@@ -11,7 +11,7 @@ from ._shared import materialise
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a long, b long) in any direction -> (node, root): root is the least node of the component.
 
-    Nodes without an edge do not appear. Rounds end when a round changes nothing; every round is written to the
+    The root itself and nodes without an edge do not appear. Rounds end when a round changes nothing; every round is written to the
     shared folder, so neither lineage nor the loss of an executor reaches back over rounds.
     """
     e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")

@@ -17,7 +17,8 @@ from ._shared import materialise, table
 
 SPAN, MISMATCHES, CLASSES = 12, 2, 4
 MASKS = [tuple(i for i in range(SPAN) if i % CLASSES in pair) for pair in combinations(range(CLASSES), 2)]
-#: Seeds of the test side up to which it is broadcast (about 100 bytes each); more are joined by shuffle.
+#: Seeds of the test side up to which it is broadcast (24 bytes each, and 8 bytes for each token of the items); more
+#: are joined by shuffle.
 BROADCAST_SEEDS = 1_000_000
 #: Everything but letters and digits separates tokens.
 SEPARATOR = r"[^\p{L}\p{N}]+"
@@ -34,11 +35,12 @@ def class_hash(t: Column, i: Column, c: int) -> Column:
 
 
 def seeds(rows: DataFrame, keys: list[str], t: str) -> DataFrame:
-    """One row per window and mask: keys, i (place of the window), h."""
-    at = rows.where(F.size(t) >= SPAN).select(*keys, t, F.explode(F.sequence(F.lit(0), F.size(t) - SPAN)).alias("i"))
-    at = at.select(*keys, t, "i", *[class_hash(F.col(t), F.col("i"), c).alias(f"c{c}") for c in range(CLASSES)])
+    """One row per window and mask: keys, i (place of the window), h. Token arrays among the keys are only
+    referred to while the rows stay in one stage; leave them out of the keys if rows are to be exchanged."""
+    at = rows.where(F.size(t) >= SPAN).select(*dict.fromkeys([*keys, t]), F.explode(F.sequence(F.lit(0), F.size(t) - SPAN)).alias("i"))
+    at = at.select(*keys, "i", *[class_hash(F.col(t), F.col("i"), c).alias(f"c{c}") for c in range(CLASSES)])
     masks = F.array(*[F.xxhash64(F.lit(m), F.col(f"c{a}"), F.col(f"c{b}")) for m, (a, b) in enumerate(combinations(range(CLASSES), 2))])
-    return at.select(*keys, t, "i", F.explode(masks).alias("h"))
+    return at.select(*keys, "i", F.explode(masks).alias("h"))
 
 
 def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
@@ -51,10 +53,19 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
     a null id is one id. An empty table on either side gives an empty result.
     """
     items = materialise(bench.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("b")), "bench-tokens")
-    test = materialise(seeds(items, ["item_id"], "b").withColumnRenamed("i", "j").select("h", "item_id", "j", "b").dropDuplicates(["h", "item_id", "j"]), "bench-seeds")
-    small = test.count() <= BROADCAST_SEEDS
+    test = seeds(items, ["item_id"], "b").withColumnRenamed("i", "j").dropDuplicates(["h", "item_id", "j"])
+    test = materialise(test, "bench-seeds")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("t"))
-    hits = seeds(rows, ["doc_id"], "t").join(F.broadcast(test) if small else test, "h")
+    same_item = F.col("s.item_id").eqNullSafe(F.col("b.item_id"))
+    if test.count() <= BROADCAST_SEEDS:
+        hits = seeds(rows, ["doc_id", "t"], "t").join(F.broadcast(test), "h").alias("s").join(F.broadcast(items).alias("b"), same_item)
+        hits = hits.select("doc_id", "t", "i", "s.item_id", "j", "b")
+    else:  # narrow rows travel; the tokens come to the hits alone
+        rows = rows.withColumn("version", F.xxhash64("t"))
+        hits = seeds(rows, ["doc_id", "version"], "t").join(test, "h").select("doc_id", "version", "i", "item_id", "j").distinct()
+        hits = hits.alias("s").join(items.alias("b"), same_item).select("doc_id", "version", "i", "s.item_id", "j", "b")
+        hits = hits.alias("s").join(rows.alias("r"), (F.col("s.version") == F.col("r.version")) & F.col("s.doc_id").eqNullSafe(F.col("r.doc_id")))
+        hits = hits.select("s.doc_id", "t", "i", "item_id", "j", "b")
     wrong = sum((F.when(F.element_at("t", F.col("i") + 1 + k) == F.element_at("b", F.col("j") + 1 + k), 0).otherwise(1) for k in range(SPAN)), F.lit(0))
     hits = hits.where(wrong <= MISMATCHES)
     back = F.least("i", "j")

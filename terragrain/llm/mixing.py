@@ -41,8 +41,9 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, sh
 
 
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
-    """How many documents of each length to take, so that their lengths add up to ``budget`` as nearly as can be
-    (never above it by choice): proportional floor first, then an exact bounded knapsack on the rest."""
+    """How many documents of each length to take, so that their lengths add up to ``budget`` as nearly as can be:
+    a proportional share of each length first, then an exact bounded knapsack on the rest. Of two sums that are as
+    near the lower one counts."""
     total = sum(n * k for n, k in zip(lengths, counts))
     if budget >= total:
         return list(counts)
@@ -63,10 +64,11 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             take[i] += more
             rest -= more * lengths[i]
     # sums[k]: bit v is set if the first k items can add up to v
-    items, sums, reach, full = [], [1], 1, (1 << (rest + 1)) - 1
+    wide = rest + min(max(lengths, default=0), FIT)
+    items, sums, reach, full = [], [1], 1, (1 << (wide + 1)) - 1
     for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
         left, chunk = counts[i] - take[i], 1
-        while left > 0 and lengths[i] and chunk * lengths[i] <= rest:
+        while left > 0 and lengths[i] and min(chunk, left) * lengths[i] <= wide:
             n = min(chunk, left)
             reach |= (reach << (n * lengths[i])) & full
             items.append((i, n))
@@ -76,7 +78,10 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
                 break
         if reach >> rest & 1 or len(items) >= 4000:
             break
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
+    above = reach >> rest
+    above = rest + (above & -above).bit_length() - 1 if above else None
+    at = above if above is not None and above - rest < rest - below else below
     for k in range(len(items), 0, -1):
         if not sums[k - 1] >> at & 1:
             i, n = items[k - 1]

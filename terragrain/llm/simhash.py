@@ -174,10 +174,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: For near copies by similarity: 256 bits, tables of sampled bits, bits of a key in plain and in full buckets.
-LONGS, TABLES, KEY, SIMILARITY = 4, 48, 16, 0.8
+LONGS, TABLES, KEY, SIMILARITY = 4, 64, 16, 0.8
 
 
-def most_bits(similarity: float, longs: int = LONGS, slack: float = 1.0) -> int:
+def most_bits(similarity: float, longs: int = LONGS, slack: float = 2.0) -> int:
     """Differing bits expected at this Jaccard similarity of shingles (half an angle's share of the bits), plus ``slack`` standard deviations."""
     n, shared = 64 * longs, 2 * similarity / (1 + similarity)
     p = float(np.arccos(shared) / np.pi)

@@ -252,7 +252,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("__tg_id")).agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64(F.lit(10), "__tg_id"))
     some = [rows.where(F.col("toxic") == y).orderBy("h", "__tg_id").limit(SAMPLE_ROWS) for y in (0, 1)]
     side = F.broadcast(some[0].union(some[1]))  # 2 * SAMPLE_ROWS rows at most
-    joined = docs.where("text is not null").join(side, F.col("doc_id").cast("long") == F.col("__tg_id"))
+    narrow = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    joined = narrow.join(side, F.col("doc_id") == F.col("__tg_id"))
     return joined.select("h", "toxic", F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h", "text").limit(4 * SAMPLE_ROWS)
 
 

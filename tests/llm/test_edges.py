@@ -83,7 +83,7 @@ def test_decontamination(spark, edge_docs, no_docs):
 def test_quality(edge_docs, no_docs, edge_labels, no_labels):
     got = quality.judged(edge_docs, edge_labels).collect()
     assert len(got) == edge_docs.count()
-    assert not any(r.__getattr__("__tg_keep") for r in got if not r.text)
+    assert not any(r["__tg_keep"] for r in got if not r.text)
     out = quality.good_documents(edge_docs, no_labels)
     assert out.columns == edge_docs.columns and {r.doc_id for r in out.collect()} >= {3, 4, 5, 6, None}
     assert quality.good_documents(no_docs, edge_labels).count() == 0
@@ -103,7 +103,7 @@ def test_langid(edge_docs, no_docs):
 def test_secrets(edge_docs, no_docs):
     got = {r.doc_id: r for r in secrets.scan(edge_docs).collect()}
     r = got[8]
-    assert (r.n_assign, r.n_access, r.n_hex) == (1, 1, 1) and r.spans == "assign:0:24,access:25:45,hex:46:78"
+    assert (r.n_assign, r.n_access, r.n_hex) == (1, 1, 1) and r.spans == "assign:0:25,access:26:46,hex:47:79"
     assert got[1].spans == "" and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert secrets.scan(no_docs).count() == 0
 
