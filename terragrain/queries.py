@@ -35,7 +35,7 @@ ORACLES: dict[str, str] = {}
 
 RINGS = [[(-25.0, -20.0), (20.0, -28.0), (30.0, 18.0), (-15.0, 27.0)], [(-5.0, -5.0), (6.0, -5.0), (6.0, 7.0), (-5.0, 7.0)]]
 SEGMENTS: list[Segment] = segments_of(RINGS)
-BOX = (20.0, 100.0, 120.0, 500.0)
+BOX = (3.0, 100.0, 120.0, 500.0)
 
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
