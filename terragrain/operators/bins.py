@@ -72,3 +72,8 @@ def longest_axis(points: DataFrame) -> DataFrame:
 def first_points(points: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     """A bucket of bounded capacity: the first ``capacity`` points by ``order``."""
     return points.orderBy(*order).limit(capacity)
+
+
+def sort_points(points: DataFrame, axis: str) -> DataFrame:
+    """All points in order of one axis, ties by the others."""
+    return points.orderBy(axis, *[c for c in "xyz" if c != axis])

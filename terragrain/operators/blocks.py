@@ -61,6 +61,11 @@ def assign_blocks(points: DataFrame, grid: PixelGrid, scheme: BlockScheme) -> Da
     return out.withColumn("rank", scheme.rank_of(F.col("block")))
 
 
+def sort_by_block(points: DataFrame, grid: PixelGrid, scheme: BlockScheme) -> DataFrame:
+    """Points dealt to partitions by rank, in order of their blocks within each."""
+    return assign_blocks(points, grid, scheme).repartition(scheme.procs, "rank").sortWithinPartitions("block")
+
+
 def divide_tasks(n: int, procs: int) -> list[range]:
     """Contiguous shares of n tasks; the first n mod procs of them are one longer."""
     out, at = [], 0

@@ -37,8 +37,9 @@ def strips(nodes: DataFrame, spec: GridSpec, measure: str) -> DataFrame:
     return cells.groupBy("strip").applyInPandas(pack, "strip int, data binary")
 
 
-def head(spec: GridSpec, epsg: int, big: bool, wkt: str | None = None) -> bytes:
-    """Everything before the pixels; strips follow without gaps."""
+def head(spec: GridSpec, epsg: int, big: bool, wkt: str | None = None, transform: tuple[float, ...] | None = None) -> bytes:
+    """Everything before the pixels; strips follow without gaps. ``transform``: x of the upper left corner, x per column,
+    x per row, y of the corner, y per column, y per row; by default that of the grid, from the top down."""
     per = rows_per_strip(spec)
     n = -(-spec.gy // per)
     sizes = [4 * spec.gx * min(per, spec.gy - k * per) for k in range(n)]
@@ -49,10 +50,14 @@ def head(spec: GridSpec, epsg: int, big: bool, wkt: str | None = None) -> bytes:
         keys[3] = 3
         keys += [1024, 0, 1, 2 if geographic else 1, 2048 if geographic else 3072, 0, 1, epsg]
         keys[4:] = [1024, 0, 1, 2 if geographic else 1, 1025, 0, 1, 1, 2048 if geographic else 3072, 0, 1, epsg]
+    x0, xc, xr, y0, yc, yr = transform or (spec.min_x, spec.dx, 0.0, spec.min_y + spec.gy * spec.dy, 0.0, -spec.dy)
+    place = [(33550, DOUBLE, [xc, -yr, 0.0]), (33922, DOUBLE, [0.0, 0.0, 0.0, x0, y0, 0.0])]
+    if xr or yc or xc < 0 or yr > 0:
+        place = [(34264, DOUBLE, [xc, xr, 0.0, x0, yc, yr, 0.0, y0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0])]
     fields: list[tuple[int, tuple[int, int], list]] = [
         (256, LONG, [spec.gx]), (257, LONG, [spec.gy]), (258, SHORT, [32]), (259, SHORT, [1]), (262, SHORT, [1]),
         (273, at_kind, [0] * n), (277, SHORT, [1]), (278, LONG, [per]), (279, at_kind, sizes), (339, SHORT, [3]),
-        (33550, DOUBLE, [spec.dx, spec.dy, 0.0]), (33922, DOUBLE, [0.0, 0.0, 0.0, spec.min_x, spec.min_y + spec.gy * spec.dy, 0.0]),
+        *place,
         (34735, SHORT, keys), (42113, ASCII, list(f"{NODATA}\0".encode())),
     ]
     if wkt:
@@ -86,13 +91,13 @@ def head(spec: GridSpec, epsg: int, big: bool, wkt: str | None = None) -> bytes:
     return out + struct.pack("<Q" if big else "<I", 0) + tail
 
 
-def write_geotiff(nodes: DataFrame, spec: GridSpec, measure: str, path: str, epsg: int = 0, big: bool = True, wkt: str | None = None) -> None:
+def write_geotiff(nodes: DataFrame, spec: GridSpec, measure: str, path: str, epsg: int = 0, big: bool = True, wkt: str | None = None, transform: tuple[float, ...] | None = None) -> None:
     """Strips are packed by the executors and streamed to the file in order, one partition at a time."""
     if epsg < 0:
         raise ValueError("EPSG codes are positive")
     per, due = rows_per_strip(spec), 0
     with open(path, "wb") as f:
-        f.write(head(spec, epsg, big, wkt))
+        f.write(head(spec, epsg, big, wkt, transform))
 
         def blank(to: int) -> None:
             nonlocal due

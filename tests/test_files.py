@@ -147,6 +147,8 @@ def test_geotiff(small, tmp_path, big):
     data, tags = read_geotiff(path)
     assert (data == matrix(nodes, spec, "zmean").astype("f4")).all()
     assert tags[33550] == (1.0, 1.0, 0.0) and tags[33922][3:5] == (0.0, spec.gy * 1.0) and 26910 in tags[34735]
+    write_geotiff(nodes, spec, "mean", path, big=big, transform=(1.0, 2.0, 0.0, 9.0, 0.0, 2.0))
+    assert read_geotiff(path)[1][34264][:8] == (2.0, 0.0, 0.0, 1.0, 0.0, 2.0, 0.0, 9.0)
     with pytest.raises(ValueError):
         write_geotiff(nodes, spec, "mean", path, epsg=-1)
 

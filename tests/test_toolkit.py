@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from terragrain.functions import bbox, crs, dtypes, point
-from terragrain.operators.bins import PixelGrid, bin_mean, first_points
-from terragrain.operators.blocks import BlockScheme, divide_tasks
+from terragrain.operators.bins import PixelGrid, bin_mean, first_points, sort_points
+from terragrain.operators.blocks import BlockScheme, divide_tasks, sort_by_block
 from terragrain.operators.filters import overlaps_open
 
 
@@ -58,6 +58,8 @@ def test_pixels(spark):
     got = bin_mean(p, PixelGrid(2, 2, 0.0, 2.0, 1.0, 1.0), single=True).collect()
     assert [(r["row"], r["col"], r["count"], r["mean"]) for r in got] == [(1, 0, 2, 2.5)]
     assert first_points(p, 1, ["x"]).count() == 1
+    assert [r.x for r in sort_points(p, "x").collect()] == [0.5, 0.6, 9.0]
+    assert sort_by_block(p, PixelGrid(10, 10, 0.0, 10.0, 1.0, 1.0), BlockScheme(2, 2, 5, 5, 3)).count() == 3
 
 
 def test_coordinates(spark):
