@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import crc_mod, table
+from ._shared import crc_mod, seeded_rows, table
 
 ORDERS, FEATURES = (1, 2, 3), 1 << 16
 #: Documented bound of the training sample: this many rows, and this many leading characters of each of them.
@@ -142,9 +142,8 @@ def fit(texts: list[str], labels: list[str], kept_out: float = 0.2) -> Model:
 def training_rows(docs: DataFrame) -> DataFrame:
     """The bounded sample: SAMPLE_ROWS labelled rows outside the held-out fold, by a seeded order of their ids."""
     fold_ = crc_mod(F.col("doc_id"), 4)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_ != 2))
-    rows = rows.select(F.xxhash64(F.lit(5), "doc_id").alias("h"), "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    return rows.orderBy("h", "lang", "text").limit(SAMPLE_ROWS)
+    rows = docs.where(F.col("lang").isNotNull() & (fold_ != 2)).select(F.xxhash64(F.lit(5), "doc_id").alias("h"), "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    return seeded_rows(rows, SAMPLE_ROWS, "lang", "text").where("text is not null")
 
 
 def train(docs: DataFrame) -> Model:
