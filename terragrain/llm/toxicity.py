@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import crc_mod, table
+from ._shared import crc_mod, seeded_rows, table
 
 #: Documented bounds of the fitting sample: rows of either label, and characters of each of them.
 SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 20_000
@@ -250,7 +250,7 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """At most SAMPLE_ROWS rows of either label outside the held-out fold, by a seeded order of their ids."""
     rows = labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), 5) != 0))
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("__tg_id")).agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64(F.lit(10), "__tg_id"))
-    some = [rows.where(F.col("toxic") == y).orderBy("h", "__tg_id").limit(SAMPLE_ROWS) for y in (0, 1)]
+    some = [seeded_rows(rows.where(F.col("toxic") == y), SAMPLE_ROWS, "__tg_id") for y in (0, 1)]
     side = F.broadcast(some[0].union(some[1]))  # 2 * SAMPLE_ROWS rows at most
     narrow = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     joined = narrow.join(side, F.col("doc_id") == F.col("__tg_id"))
