@@ -19,7 +19,7 @@ WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Words that dynamic programming fits at most; more is spread in proportion before it.
 FIT = 8_192
 #: Rows of one (source, length) ranked by one task; larger groups are ranked by sub-bucket.
-RANKED = 20_000
+RANKED = 256
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
