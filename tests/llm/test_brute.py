@@ -237,7 +237,9 @@ def test_crowded_blocks_lose_no_link(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.itertuples()} == {i: least[r] for i, r in enumerate(root)}
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [100_000, 20])
+def test_components(spark, monkeypatch, per_task):
+    monkeypatch.setattr("terragrain.llm.components.PER_TASK", per_task)
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
