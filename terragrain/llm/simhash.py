@@ -173,8 +173,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked_components(table(spark, sf_dir, "documents"))
 
 
-#: For near copies by similarity: 256 bits, tables of sampled bits, bits of a key in plain and in full buckets.
+#: For near copies by similarity: 256 bits, tables of sampled bits, bits of a key.
 LONGS, TABLES, KEY, SIMILARITY = 4, 64, 16, 0.8
+#: Members of a bucket up to which they are one unit of work; a larger one is compared part against part.
+BLOCK = 2048
 
 
 def most_bits(similarity: float, longs: int = LONGS, slack: float = 2.0) -> int:
@@ -184,35 +186,71 @@ def most_bits(similarity: float, longs: int = LONGS, slack: float = 2.0) -> int:
     return int(n * p + slack * (n * p * (1 - p)) ** 0.5)
 
 
+def in_units(reps: DataFrame) -> DataFrame:
+    """node, its fingerprint and a unit of work for each table: the members of a (table, key) bucket. A bucket of more
+    than BLOCK members is dealt into parts, and each two parts make a unit, so every two members of a bucket meet in one."""
+    f = [f"f{j}" for j in range(LONGS)]
+    key = F.col("t").cast("long") * (1 << KEY) + F.col("k").bitwiseAND(F.lit((1 << KEY) - 1))
+    full = materialise(reps.select(F.posexplode("keys").alias("t", "k")).select(key.alias("bucket")).groupBy("bucket").count().where(F.col("count") > BLOCK).select("bucket", F.ceil(F.col("count") / BLOCK).cast("long").alias("parts")), "near-full")
+    rows = reps.select("node", *f, F.posexplode("keys").alias("t", "k")).select("node", *f, key.alias("bucket"))
+    rows = rows.join(full, "bucket", "left").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    two = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: o != F.col("own")), lambda o: F.least("own", o) * (1 << 21) + F.greatest("own", o))
+    units = F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(two)
+    return rows.select("node", *f, "bucket", F.explode(units).alias("u")).select(F.shiftleft("bucket", 42).bitwiseOR(F.col("u")).alias("unit"), "node", *f)
+
+
+def whole_units(batches: Iterable[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches sorted by ``unit``, the first one, in pieces that end where a unit ends."""
+    kept: list[list[np.ndarray]] = []
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        cut = int(np.searchsorted(cols[0], cols[0][-1]))
+        if cut or (kept and kept[-1][0][-1] != cols[0][0]):
+            yield [np.concatenate(c) for c in zip(*kept, [c[:cut] for c in cols])]
+            kept = []
+        kept.append([c[cut:] for c in cols])
+    if kept:
+        yield [np.concatenate(c) for c in zip(*kept)]
+
+
+def close_pairs(unit: np.ndarray, node: np.ndarray, f: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places x < y of one unit whose nodes differ and whose fingerprints differ by at most ``most`` bits, and these
+    bits. All pairs of a unit are compared, those at one distance in the table at a time, so no y comes twice in a step."""
+    f = [c.view(np.uint64) for c in f]
+    x = np.arange(len(unit))
+    d = 0
+    while len(x):
+        d += 1
+        x = x[: np.searchsorted(x, len(unit) - d)]
+        x = x[unit[x] == unit[x + d]]
+        y = x + d
+        bits = sum(np.bitwise_count(c[x] ^ c[y]).astype(np.uint16) for c in f)
+        hit = (bits <= most) & (node[x] != node[y])
+        yield x[hit], y[hit], bits[hit]
+
+
 def near_groups(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, keep_id) of every id that belongs to a group of near copies with other ids: the group's least id stays.
 
     Ids are compared by 256-bit fingerprints over k-word shingles. Candidates share the sampled bits of one of
-    TABLES tables; the pivot table discards, and the differing bits decide. A bucket of more than BUCKET
-    fingerprints is dealt anew by twice as many bits; what is still too full then links to its least member,
-    again only within the same distance. Null ids take no part.
+    TABLES tables, and the differing bits decide. All pairs of a bucket are compared, whatever its size; see
+    ``in_units``. Null ids take no part.
     """
     most = most_bits(similarity)
     f = [f"f{j}" for j in range(LONGS)]
     fps = materialise(fingerprints(docs, k, LONGS, TABLES).where("doc_id is not null"), "near-fp")
-    reps = fps.groupBy(*f).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    reps = materialise(with_pivots(reps, LONGS), "near-reps")
-    p = [f"p{i}" for i in range(PIVOTS)]
-    rows = reps.select("node", *f, *p, F.posexplode("keys").alias("t", "k32")).withColumn("k", F.col("k32").bitwiseAND(F.lit((1 << KEY) - 1)))
-
-    def paired(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-        full = materialise(rows.groupBy("t", key).count().where(F.col("count") > BUCKET).select("t", key), "near-full")
-        few = rows.join(full, ["t", key], "left_anti")
-        same = (F.col("x.t") == F.col("y.t")) & (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.node") < F.col("y.node"))
-        pairs = few.alias("x").join(few.alias("y"), same & close(LONGS, most)).select(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
-        return pairs, rows.join(full, ["t", key], "left_semi")
-
-    pairs, fuller = paired(rows, "k")
-    fuller = materialise(fuller, "near-fuller")
-    least = fuller.groupBy("t", "k32").agg(F.min(F.struct("node", *f, *p)).alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1").select("t", "k32", "y.*")
-    same = (F.col("x.t") == F.col("y.t")) & (F.col("x.k32") == F.col("y.k32")) & (F.col("x.node") > F.col("y.node"))
-    links = fuller.alias("x").join(least.alias("y"), same & close(LONGS, most)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    root = components(pairs.union(links))
+    reps = materialise(fps.groupBy(*f).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "near-reps")
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, node, *f in whole_units(batches):
+            for x, y, _ in close_pairs(unit, node, f, most):
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[y]), pa.array(node[x])], ["a", "b"])
+
+    links = in_units(reps).repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(compare, "a long, b long")
+    root = components(links)
     ids = fps.select("doc_id", *f).join(reps.select("node", *f), f).select("doc_id", "node")
     out = ids.join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keep_id"))
     return out.groupBy("doc_id").agg(F.min("keep_id").alias("keep_id")).where("doc_id <> keep_id")

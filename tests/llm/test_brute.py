@@ -266,6 +266,22 @@ def test_near_copies_go(spark):
     assert sorted(kept.grp) == list(range(40))
 
 
+@pytest.mark.parametrize("block", [2048, 2])
+def test_full_buckets_lose_no_near_copy(spark, monkeypatch, block):
+    """One bucket in each table (keys of no bits) with pairs of near copies that are far from its least member."""
+    monkeypatch.setattr(simhash, "BUCKET", 1)
+    monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+    monkeypatch.setattr(simhash, "KEY", 0)
+    monkeypatch.setattr(simhash, "TABLES", 2)
+    rng = random.Random(3)
+    docs = []
+    for i in range(60):
+        base = [str(rng.random()) for _ in range(200)]
+        docs += [(2 * i, " ".join(base)), (2 * i + 1, " ".join([*base[:-2], "other", "end"]))]
+    got = simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.keep_id) for r in got} == {(2 * i + 1, 2 * i) for i in range(60)}
+
+
 # 5: language
 
 
