@@ -93,24 +93,28 @@ def key_bits(longs: int, tables: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, k: int, longs: int = 1, tables: int = 0) -> DataFrame:
-    """doc_id, f0 .. f<longs-1>, and the sampled keys of each table. Whole texts; a null text has no words."""
+    """doc_id, f0 .. f<longs-1>; with tables also their sampled keys and a hash of the set of shingles, and then
+    each different shingle counts once. Whole texts; a null text has no words."""
     where = key_bits(longs, tables) if tables else None
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
             for group in groups_of(batch.column("text").to_pylist(), k):
+                if where is not None:
+                    group = [np.unique(h) for h in group]
                 f = majority(group, longs)
                 cols = [batch.column("doc_id").slice(done, len(group))] + [pa.array(f[:, j].view("<i8")) for j in range(longs)]
                 if where is not None:
                     bits = np.unpackbits(f.view(np.uint8).reshape(len(group), -1), axis=1, bitorder="little")
                     keys = np.packbits(bits[:, where.ravel()].reshape(len(group), tables, 32), axis=2, bitorder="little").view("<i4").reshape(-1)
                     cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(group) + 1, dtype=np.int32) * tables), pa.array(keys)))
+                    cols.append(pa.array(np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in group], "<u8").view("<i8")))
                 done += len(group)
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    names = ["doc_id"] + [f"f{j}" for j in range(longs)] + (["keys"] if tables else [])
-    schema = ", ".join(["doc_id long"] + [f"f{j} long" for j in range(longs)] + (["keys array<int>"] if tables else []))
+    names = ["doc_id"] + [f"f{j}" for j in range(longs)] + (["keys", "shingles"] if tables else [])
+    schema = ", ".join(["doc_id long"] + [f"f{j} long" for j in range(longs)] + (["keys array<int>", "shingles long"] if tables else []))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
 
 
@@ -179,7 +183,7 @@ LONGS, TABLES, KEY, SIMILARITY = 4, 64, 16, 0.8
 BLOCK = 2048
 
 
-def most_bits(similarity: float, longs: int = LONGS, slack: float = 2.0) -> int:
+def most_bits(similarity: float, longs: int = LONGS, slack: float = 4.0) -> int:
     """Differing bits expected at this Jaccard similarity of shingles (half an angle's share of the bits), plus ``slack`` standard deviations."""
     n, shared = 64 * longs, 2 * similarity / (1 + similarity)
     p = float(np.arccos(shared) / np.pi)
@@ -231,27 +235,76 @@ def close_pairs(unit: np.ndarray, node: np.ndarray, f: list[np.ndarray], most: i
         yield x[hit], y[hit], bits[hit]
 
 
+def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of ids that have texts whose sets of k-word shingles reach this Jaccard similarity."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = materialise(texts.join(ids, "id", "left_semi").dropDuplicates(["id", "text"]), "near-texts")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, second = None, set()
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
+                if y != last:
+                    last, second = y, set(shingle_hashes(y, k).tolist())
+                first = set(shingle_hashes(x, k).tolist())
+                common = len(first & second)
+                keep.append(common >= similarity * (len(first) + len(second) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, keep_id) of every id that belongs to a group of near copies with other ids: the group's least id stays.
 
-    Ids are compared by 256-bit fingerprints over k-word shingles. Candidates share the sampled bits of one of
-    TABLES tables, and the differing bits decide. All pairs of a bucket are compared, whatever its size; see
-    ``in_units``. Null ids take no part.
+    Two ids are near copies if the sets of k-word shingles of their texts reach the similarity. Candidates share the
+    sampled bits of one of TABLES tables and differ by few enough bits for a pair to reach the similarity (``most_bits``);
+    all pairs of a bucket are compared, whatever its size, see ``in_units``. What links is the exact check alone.
+    First each id is checked against the nearest lesser one of each unit. Of the other candidates, those that the links
+    found so far leave in different groups are then checked as well; one inside a group could change nothing. Rows with one
+    set of shingles are one node. Null ids take no part.
     """
     most = most_bits(similarity)
     f = [f"f{j}" for j in range(LONGS)]
+    wide = "unit long, a long, b long, " + ", ".join(f"{c} long" for c in f)
     fps = materialise(fingerprints(docs, k, LONGS, TABLES).where("doc_id is not null"), "near-fp")
-    reps = materialise(fps.groupBy(*f).agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "near-reps")
+    reps = materialise(fps.groupBy(*f, "shingles").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "near-reps")
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def nearest(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each node with its nearest lesser one (b), and the members of units with further candidates (b null)."""
         for unit, node, *f in whole_units(batches):
+            least, at, many = np.full(len(unit), most + 1, np.uint16), np.zeros(len(unit), int), np.zeros(len(unit), int)
+            member = np.zeros(len(unit), bool)
+            for x, y, bits in close_pairs(unit, node, f, most):
+                many[y] += 1
+                member[x] = member[y] = True
+                less = bits < least[y]
+                least[y[less]], at[y[less]] = bits[less], x[less]
+            linked = np.flatnonzero(many)
+            more = np.flatnonzero(member & np.isin(unit, unit[many > 1]))
+            rows = np.concatenate([linked, more])
+            b = pa.array(np.concatenate([node[at[linked]], node[more]]), mask=np.arange(len(rows)) >= len(linked))
+            yield pa.RecordBatch.from_arrays([pa.array(unit[rows]), pa.array(node[rows]), b] + [pa.array(c[rows]) for c in f], ["unit", "a", "b", *names])
+
+    def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for unit, node, *f, root in whole_units(batches):
             for x, y, _ in close_pairs(unit, node, f, most):
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[y]), pa.array(node[x])], ["a", "b"])
-
-    links = in_units(reps).repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(compare, "a long, b long")
-    root = components(links)
-    ids = fps.select("doc_id", *f).join(reps.select("node", *f), f).select("doc_id", "node")
+                apart = root[x] != root[y]
+                if apart.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[y[apart]]), pa.array(node[x[apart]])], ["a", "b"])
+
+    names = list(f)
+    found = materialise(in_units(reps).repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(nearest, wide), "near-first")
+    first = materialise(found.where("b is not null").select("a", "b").distinct(), "near-pairs")
+    links = materialise(verified(first, docs, k, similarity), "near-links")
+    root = materialise(components(links), "near-root")
+    more = found.where("b is null").select("unit", F.col("a").alias("node"), *f).join(root, "node", "left").select("unit", "node", *f, F.coalesce("root", "node").alias("root"))
+    others = more.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    root = components(links.union(verified(materialise(others, "near-others"), docs, k, similarity)))
+    ids = fps.select("doc_id", *f, "shingles").join(reps.select("node", *f, "shingles"), [*f, "shingles"]).select("doc_id", "node")
     out = ids.join(root, "node", "left").select("doc_id", F.coalesce("root", "node").alias("keep_id"))
     return out.groupBy("doc_id").agg(F.min("keep_id").alias("keep_id")).where("doc_id <> keep_id")
 

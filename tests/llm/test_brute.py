@@ -282,6 +282,27 @@ def test_full_buckets_lose_no_near_copy(spark, monkeypatch, block):
     assert {(r.doc_id, r.keep_id) for r in got} == {(2 * i + 1, 2 * i) for i in range(60)}
 
 
+def test_near_copies_are_exact(spark, monkeypatch):
+    """Texts with a common passage of 65 to 95 % of their words: whatever is linked has shingle sets of similarity 0.8."""
+    rng = random.Random(11)
+    docs = []
+    for group in range(12):
+        base = [str(rng.random()) for _ in range(300)]
+        for m in range(8):
+            n = rng.randint(195, 297)
+            docs.append((len(docs), " ".join(base[:n] + [str(rng.random()) for _ in range(300 - n)])))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    root = groups(len(docs), [(a, b) for a in range(len(docs)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    least = {}
+    for i, r in enumerate(root):
+        least.setdefault(r, i)
+    want = {i: least[r] for i, r in enumerate(root) if i != least[r]}
+    assert 12 < len(want) < 84
+    monkeypatch.setattr(simhash, "KEY", 8)
+    got = simhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.keep_id for r in got} == want
+
+
 # 5: language
 
 
