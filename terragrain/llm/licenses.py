@@ -1,8 +1,9 @@
 """License scans: normalised text against licence templates by Dice coefficient over word bigrams.
 
-The unit is a line, since notices stand on lines of their own; the words of a line are compared with each
+The words of a line, and of every stretch of the whole text whatever its line breaks, are compared with each
 template whose size allows the threshold at all: 2 |A & B| / (|A| + |B|) >= t needs
-|A| >= |B| t / (2 - t) and |A| <= |B| (2 - t) / t.
+|A| >= |B| t / (2 - t) and |A| <= |B| (2 - t) / t. A line that matches as a whole is one notice; stretches count
+elsewhere, so that wrapped notices and those inside a paragraph are found too.
 """
 
 from __future__ import annotations
@@ -55,7 +56,7 @@ def template_frame(spark: SparkSession, templates: tuple[tuple[str, str], ...] =
     return t.groupBy("template", "license", "size", "bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
-def notices(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def lines_that_match(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """Lines that match a licence template: doc_id, line (from 0), license, template, overlap, line_size,
     template_size (word bigrams, repeats counted). Dice is 2 overlap / (line_size + template_size).
 
@@ -81,18 +82,61 @@ def notices(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES,
     return per.where(2 * F.col("overlap") >= threshold * (a + b)).select("doc_id", "version", "line", "license", "template", "overlap", "line_size", F.col("size").alias("template_size"))
 
 
+def stretches(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Stretches of a text's words that match a template, over line ends and inside lines: doc_id, version, start (bigram
+    from 0), stop (its last one), first and last (lines), license, template, overlap, line_size (bigrams), template_size.
+
+    Of stretches that share words the one with the greatest Dice stays (ties: earlier, shorter, lesser template); those
+    that share a line with a line that matches as a whole are that notice and do not appear. The best stretch of a place
+    begins and ends with bigrams of the template, so no other is tried.
+    """
+    t = template_frame(docs.sparkSession, templates)
+    row = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    grams = row.select("doc_id", "version", word_list(F.col("text")).alias("w")).where(F.size("w") > 1)
+    grams = grams.select("doc_id", "version", F.posexplode(F.expr("transform(slice(w, 1, size(w) - 1), (x, i) -> concat(x, ' ', w[i + 1]))")).alias("pos", "bigram"))
+    hits = grams.join(F.broadcast(t), "bigram")
+    need, most = F.ceil(F.col("size") * threshold / (2 - threshold) - 1e-9).cast("int"), F.floor(F.col("size") * (2 - threshold) / threshold + 1e-9).cast("int")
+    per = hits.groupBy("doc_id", "version", "license", "template", "size").agg(F.sort_array(F.collect_set(F.struct("pos", "bigram", "n"))).alias("h"))  # at most the document's bigrams
+    per = per.withColumn("need", need).withColumn("most", most).where(F.size("h") >= F.col("need"))
+    per = per.withColumn("i", F.explode(F.expr("filter(sequence(0, size(h) - need), i -> h[i + need - 1].pos - h[i].pos < most)")))
+    per = per.withColumn("part", F.expr("filter(slice(h, i + 1, most), x -> x.pos - h[i].pos < most)")).drop("h")
+    per = per.withColumn("j", F.explode(F.expr("sequence(need, size(part))"))).withColumn("part", F.slice("part", 1, F.col("j")))
+    per = per.withColumn("overlap", F.expr("aggregate(array_distinct(transform(part, x -> struct(x.bigram, x.n))), 0L, (s, g) -> s + least(g.n, size(filter(part, x -> x.bigram = g.bigram))))"))
+    per = per.withColumn("start", F.expr("part[0].pos")).withColumn("stop", F.expr("part[j - 1].pos")).withColumn("line_size", F.expr("stop - start + 1"))
+    per = per.where(2 * F.col("overlap") >= threshold * (F.col("line_size") + F.col("size")))
+    found = per.select("doc_id", "version", F.struct((-2 * F.col("overlap") / (F.col("line_size") + F.col("size"))).alias("order"), "start", "stop", "template", "license", "overlap", "line_size", F.col("size").alias("template_size")).alias("s"))
+    found = found.groupBy("doc_id", "version").agg(F.sort_array(F.collect_set("s")).alias("all"))
+    # The word at which each line ends, then the lines of a stretch; a stretch has one word more than bigrams.
+    counts = F.transform(F.split("text", "\n"), lambda x: F.size(F.filter(word_list(x), lambda w: w != "")))
+    ends = row.select(F.col("doc_id").alias("id"), F.col("version").alias("v"), counts.alias("c")).alias("r").join(found, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("v") == F.col("version"))).groupBy("doc_id", "version").agg(F.first("all").alias("all"), F.first("c").alias("c"))
+    ends = ends.withColumn("ends", F.expr("aggregate(c, cast(array() as array<int>), (a, x) -> concat(a, array(coalesce(a[size(a) - 1], 0) + x)))".replace("a[size(a) - 1]", "try_element_at(a, -1)")))
+    lined = ends.withColumn("all", F.expr("transform(all, s -> struct(s as s, size(filter(ends, e -> e <= s.start)) as first, size(filter(ends, e -> e <= s.stop + 1)) as last))"))
+    whole = lines_that_match(docs, templates, threshold).groupBy("doc_id", "version").agg(F.collect_set("line").alias("taken")).select(F.col("doc_id").alias("id"), F.col("version").alias("v"), "taken")
+    free = lined.join(whole, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("v") == F.col("version")), "left")
+    free = free.withColumn("all", F.expr("filter(all, x -> not exists(coalesce(taken, cast(array() as array<int>)), l -> l between x.first and x.last))"))
+    kept = F.expr("aggregate(all, slice(all, 1, 0), (k, x) -> if(exists(k, y -> y.s.start <= x.s.stop + 1 and x.s.start <= y.s.stop + 1), k, concat(k, array(x))))")
+    return free.select("doc_id", "version", F.explode(kept).alias("x")).select("doc_id", "version", "x.first", "x.last", "x.s.*").drop("order")
+
+
+def notices(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """Lines that match, see ``lines_that_match``, and the ``stretches`` elsewhere, by the line they begin on; ``start`` is
+    null for a line and the first word's place in the text for a stretch."""
+    lines = lines_that_match(docs, templates, threshold).withColumn("start", F.lit(None).cast("int"))
+    return lines.unionByName(stretches(docs, templates, threshold).withColumnRenamed("first", "line").select(*lines.columns))
+
+
 def _plain(text: str) -> str:
     return " ".join("".join(c.lower() if c.isalnum() else " " for c in text).split())
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document: doc_id, n_notices (matching lines), licenses (sorted, comma-joined), license (of the best
+    """Every document: doc_id, n_notices (matching lines and stretches), licenses (sorted, comma-joined), license (of the best
     match; ties go to the least template number), dice (of it, to six places; 0 if none)."""
     docs = table(spark, sf_dir, "documents")
     found = notices(docs)
     dice = 2 * F.col("overlap") / (F.col("line_size") + F.col("template_size"))
     best = found.groupBy("doc_id").agg(
-        F.count_distinct("version", "line").alias("n_notices"),
+        F.count_distinct("version", "line", F.coalesce("start", F.lit(-1))).alias("n_notices"),
         F.array_join(F.sort_array(F.collect_set("license")), ",").alias("licenses"),  # as many as there are licences
         F.max(F.struct(dice.alias("dice"), (-F.col("template")).alias("t"), "license")).alias("best"),
     )

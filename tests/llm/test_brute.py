@@ -362,6 +362,17 @@ def test_licences_by_loop(spark):
     assert {(r.doc_id, r.template) for r in licenses.notices(docs).collect()} == want and len(want) >= 3
 
 
+def test_wrapped_and_embedded_notices(spark):
+    text = {name: y for name, y in licenses.TEMPLATES}
+    words = text["MIT"].split()
+    wrapped = "A title\n" + "\n".join(" ".join(words[i : i + 11]) for i in range(0, len(words), 11)) + "\nand what follows\n"
+    inside = "Some words about the project come first. " * 9 + "It is Released under the MIT License. " + "More words come after that. " * 9
+    docs = [(0, wrapped), (1, inside), (2, inside + inside), (3, wrapped + "Released under the MIT License.\n"), (4, "of the license and under the " * 30)]
+    got = licenses.notices(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = sorted((r.doc_id, r.license, r.line, 2 * r.overlap / (r.line_size + r.template_size)) for r in got)
+    assert found == [(0, "MIT", 1, 1.0), (1, "MIT", 0, 1.0), (2, "MIT", 0, 1.0), (2, "MIT", 0, 1.0), (3, "MIT", 1, 1.0), (3, "MIT", len(wrapped.splitlines()), 1.0)]
+
+
 # 9: secrets
 
 
