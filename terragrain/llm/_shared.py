@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,16 +13,24 @@ from pyspark.sql import functions as F
 #: ASCII white space, the only separator between words in every contract of this subpackage.
 SPACE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Rows of keys (some 32 bytes each) up to which one side of a join is broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+#: Columns of ``row_key``.
+KEY = ["__tg_none", "__tg_id", "__tg_text"]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session of one process gets a
+    temporary one; a session on a cluster is refused, since no other folder is known to be shared."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = jvm.get() if jvm.isDefined() else ""
     if not path:
-        path = os.path.join(tempfile.gettempdir(), "terragrain-shared")
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="terragrain-shared-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -32,7 +41,36 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/terragrain/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tg_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise`` that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df._tg_path)
+        at.getFileSystem(spark._jsc.sc().hadoopConfiguration()).delete(at, True)
+
+
+def row_key(docs: DataFrame) -> list[Column]:
+    """__tg_none, __tg_id, __tg_text: what tells rows apart where ids repeat or are null; rows alike in all three are one
+    document."""
+    ident, text = docs["doc_id"], docs["text"]
+    return [ident.isNull().alias(KEY[0]), F.coalesce(ident.cast("long"), F.lit(0).cast("long")).alias(KEY[1]), F.xxhash64(F.coalesce(text.cast("string"), F.lit(""))).alias(KEY[2])]
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """``keys`` marked for broadcast if there are few enough of them."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose key is in ``gone`` (a written table of KEY); columns as they came."""
+    g = small(gone)
+    same = [mine == F.col(name) for mine, name in zip(row_key(docs), KEY)]
+    return docs.join(g, same[0] & same[1] & same[2], "left_anti")
 
 
 def lower_ascii(text: Column) -> Column:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialise
+from ._shared import discard, materialise
 
 
 #: Edges that one task thins to a spanning forest.
@@ -42,10 +42,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a long, b long) in any direction -> (node, root): root is the least node of the component.
 
     The root itself and nodes without an edge do not appear. Rounds end when a round changes nothing; every round is written to the
-    shared folder, so neither lineage nor the loss of an executor reaches back over rounds.
+    shared folder, so neither lineage nor the loss of an executor reaches back over rounds. Rounds grow with the logarithm
+    of the longest path; should ``most_rounds`` not be enough, an error is raised and no half-finished result returned.
     """
-    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    e = materialise(thinned(e, e.count()), "cc-thin")
+    first = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
+    e = materialise(thinned(first, first.count()), "cc-thin")
+    discard(first)
     seen = None
     for _ in range(most_rounds):
         mark = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
@@ -57,5 +59,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.join(least, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("x"))
-        e = materialise(small.select("x.a", "x.b").where("a <> b").distinct(), "cc")
+        before, e = e, materialise(small.select("x.a", "x.b").where("a <> b").distinct(), "cc")
+        discard(before)
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
