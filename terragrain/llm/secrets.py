@@ -8,6 +8,7 @@ look-ups. The table holds k log2 k in millionths, which makes the decision exact
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,11 @@ class CharClass:
 HEX = CharClass("hex", "0123456789abcdefABCDEF", 20, 3.0)
 BASE64 = CharClass("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 20, 3.5)
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+assert HEX.window == BASE64.window
+#: Counters in a long, and the bits of each: they count to the window's size.
+PACKED, BITS = 12, 5
+#: Matches of a text walked in one block.
+AT_ONCE = 256
 #: Candidates that hold one of these, in any case, are placeholders and not secrets.
 ALLOWED = ("example", "sample", "placeholder", "changeme", "0123456789", "abcdefghij", "deadbeef")
 
@@ -50,62 +56,82 @@ def klogk(most: int) -> list[int]:
     return [0] + [round(k * math.log2(k) * 1e6) for k in range(1, most + 1)]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out a single time, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spans_of(text: Column, pattern: str, group: int, least: int) -> Column:
-    """array<struct<s,e,v>> of the matches, in code points: the pieces between matches give the places."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    """array<struct<s,e,v>> of the matches, in code points: the pieces between matches give the places. Matches are walked
+    in blocks of AT_ONCE, whose places are then shifted, so that the work follows their number."""
     kind = "struct<at:int,out:array<struct<s:int,e:int,v:string>>>"
+    none = F.expr(f"CAST(named_struct('at', 0, 'out', array()) AS {kind})")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["0"])
-        end = start + F.length(x["1"])
-        one = F.array(F.struct(start.alias("s"), end.alias("e"), x["2"].alias("v")))
-        out = F.when(F.length(x["2"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"])
-        return F.when(x["1"].isNull(), acc).otherwise(F.struct(end.alias("at"), out.alias("out")).cast(kind))
+        start = acc["at"] + F.length(x["before"])
+        end = start + F.length(x["all"])
+        one = F.array(F.struct(start.alias("s"), end.alias("e"), x["part"].alias("v")))
+        out = F.when(F.length(x["part"]) >= least, F.concat(acc["out"], one)).otherwise(acc["out"])
+        return F.struct(end.alias("at"), out.alias("out")).cast(kind)
 
-    none = F.expr(f"CAST(named_struct('at', 0, 'out', array()) AS {kind})")
-    # One array is walked, so that nothing inside the lambda is worked out again for each match; the last
-    # piece has no match behind it.
-    walked = F.aggregate(F.arrays_zip(F.split(text, pattern, -1), found, inner), none, step)["out"]
-    return F.when(F.size(found) > 0, walked).otherwise(none["out"])
+    def shifted(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.array(F.lit(0)), lambda at, x: F.concat(at, F.array(F.element_at(at, -1) + x["at"])))
+        moved = F.zip_with(blocks, F.slice(starts, 1, F.size(blocks)), lambda x, at: F.transform(x["out"], lambda m: F.struct((m["s"] + at).alias("s"), (m["e"] + at).alias("e"), m["v"].alias("v"))))
+        return F.flatten(moved)
 
+    def walked(found: Column) -> Column:
+        inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        pieces = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, inner).cast("array<struct<before:string,all:string,part:string>>")
+        blocks = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / AT_ONCE).cast("int")), lambda k: F.aggregate(F.slice(p, k * AT_ONCE + 1, AT_ONCE), none, step))
+        return F.when(F.size(found) > 0, once(once(pieces, blocks), shifted)).otherwise(none["out"])
 
-def least_s(value: Column, cls: CharClass) -> Column:
-    """The least S over all windows of the candidate, by counts that two characters change at each step."""
-    w, n = cls.window, len(cls.members)
-    f = F.expr("array(" + ",".join(f"{x}L" for x in klogk(w)) + ")")
-    zero = F.array_repeat(F.lit(0), n + 1)
-    kind = "struct<c:array<int>,s:bigint,best:bigint>"
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walked)
 
-    def code(i: Column) -> Column:
-        return F.instr(F.lit(cls.members), F.substr(value, i, F.lit(1)))
 
-    def at(counts: Column, c: Column) -> Column:
-        return F.element_at(counts, c + 1)
+def least_s(value: Column, window: int) -> Column:
+    """The least S over all windows of the candidate, by counts that two characters change at each step.
+
+    The counts of the characters, PACKED of BITS bits, ride in each of a few longs. A character's code is 64 times the
+    number of its long plus the shift within it. BASE64 holds the characters of any candidate.
+    """
+    f = F.expr("array(" + ",".join(f"{x}L" for x in klogk(window)) + ")")
+    table = [0] * 128
+    for k, c in enumerate(BASE64.members):
+        table[ord(c)] = k // PACKED * 64 + k % PACKED * BITS
+    code_of = F.expr("array(" + ",".join(map(str, table)) + ")")
+    longs = -(-len(BASE64.members) // PACKED)
+    kind = "struct<c:array<bigint>,s:bigint,best:bigint>"
+    start = F.struct(F.array_repeat(F.lit(0).cast("long"), longs).alias("c"), F.lit(0).cast("long").alias("s"), F.lit(2**62).alias("best")).cast(kind)
+    slot, one = lambda c: F.shiftright(c, 6), F.lit(1).cast("long")
+
+    def count(counts: Column, c: Column) -> Column:
+        return F.call_function("shiftrightunsigned", F.get(counts, slot(c)), c.bitwiseAND(63)).bitwiseAND(2**BITS - 1).cast("int")
+
+    def step(acc: Column, x: Column) -> Column:
+        """One character in, and from the first full window on one out; the window before counts if it was full."""
+        come, gone, lone = x["come"], x["gone"], x["gone"] < 0
+        left = count(acc["c"], gone)
+        right = count(acc["c"], come) - F.when(come == gone, 1).otherwise(0)
+        out = F.when(lone, F.lit(0).cast("long")).otherwise(F.get(f, left - 1) - F.get(f, left))
+        part = lambda c, j: F.when(slot(c) == j, F.call_function("shiftleft", one, c.bitwiseAND(63))).otherwise(0)
+        counts = F.transform(acc["c"], lambda v, j: v + part(come, j) - F.when(lone, F.lit(0).cast("long")).otherwise(part(gone, j)))
+        return F.struct(
+            counts.alias("c"), (acc["s"] + out + F.get(f, right + 1) - F.get(f, right)).alias("s"),
+            F.when(x["full"], F.least(acc["best"], acc["s"])).otherwise(acc["best"]).alias("best"),
+        ).cast(kind)
 
-    def step(acc: Column, i: Column) -> Column:
-        """One character in, and from the first full window on one out."""
-        come, gone = code(i), F.when(i > w, code(i - w)).otherwise(-1)
-        left = F.when(i > w, at(acc["c"], gone)).otherwise(0)
-        out = F.when(i > w, at(f, left - 1) - at(f, left)).otherwise(F.lit(0).cast("long"))
-        right = at(acc["c"], come) - F.when(come == gone, 1).otherwise(0)
-        s = acc["s"] + out + at(f, right + 1) - at(f, right)
-        counts = F.transform(acc["c"], lambda v, j: v + F.when(j == come, 1).otherwise(0) - F.when(j == gone, 1).otherwise(0))
-        return F.struct(counts.alias("c"), s.alias("s"), F.when(i >= w, F.least(acc["best"], s)).otherwise(acc["best"]).alias("best")).cast(kind)
+    def over(codes: Column) -> Column:
+        moves = F.transform(codes, lambda c, i: F.struct(c.alias("come"), F.when(i >= window, F.get(codes, i - window)).otherwise(-1).alias("gone"), (i >= window).alias("full")))
+        return F.aggregate(moves, start, step, lambda acc: F.least(acc["best"], acc["s"]))
 
-    start = F.struct(zero.alias("c"), F.lit(0).cast("long").alias("s"), F.lit(2**62).alias("best")).cast(kind)
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), start, step)["best"]
+    return once(F.transform(F.split(value, ""), lambda c: F.get(code_of, F.ascii(c))), over)
 
 
 def is_secret(value: Column) -> Column:
     """A letter and a digit, no allow-listed part, and one window of high entropy for its character class."""
-    plain = F.lower(value)
-    allowed = F.lit(False)
-    for a in ALLOWED:
-        allowed = allowed | F.contains(plain, F.lit(a))
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    tense = F.when(value.rlike("^[0-9a-fA-F]+$"), least_s(value, HEX) <= HEX.most).otherwise(least_s(value, BASE64) <= BASE64.most)
-    return F.when(mixed & ~allowed, tense).otherwise(False)
+    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(f"(?i){'|'.join(ALLOWED)}")
+    most = F.when(value.rlike("^[0-9a-fA-F]+$"), HEX.most).otherwise(BASE64.most)
+    return F.when(mixed, least_s(value, BASE64.window) <= most).otherwise(False)
 
 
 def _join(spans: Column) -> Column:
@@ -119,8 +145,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty and has no spans. Patterns match leftmost and without overlap, each kind by itself;
     matches that are too short are dropped after they have consumed their text. An entropy span that lies
-    wholly in a base span adds nothing and is left out. Repeated rows give repeated results; an empty table gives
-    an empty result; other columns are ignored.
+    wholly in a base span adds nothing and is left out. Repeated rows, null or repeated ids give a result each; an empty
+    table gives an empty result; other columns are ignored. The work grows with a text's length, also in one long candidate.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.select(
