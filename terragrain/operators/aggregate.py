@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def _idw_legacy() -> Column:
     return F.coalesce(F.min(F.when(F.col("d2") == 0, F.col("z"))), F.sum(F.col("z") * w) / F.sum(w))
 
 
-def node_measures(contributions: DataFrame, measures: list[str] | None = None, order: str | None = None, legacy_idw: bool = False) -> DataFrame:
+def node_measures(contributions: DataFrame, measures: list[str] | None = None, order: str | None = None, legacy_idw: bool = False, by: Sequence[Column] = ()) -> DataFrame:
     """(i, j, measures..., filled): one row per node that any point reaches; others are absent.
 
     ``order`` names a long column that says which of several points on one node comes first. std is the population
@@ -37,4 +39,4 @@ def node_measures(contributions: DataFrame, measures: list[str] | None = None, o
         "den": lambda: F.count(F.lit(1)),
         "std": lambda: F.stddev_pop("z"),
     }
-    return contributions.groupBy("i", "j").agg(*[make[m]().alias(MEASURES[m]) for m in pick_measures(measures)])
+    return contributions.groupBy(*by, "i", "j").agg(*[make[m]().alias(MEASURES[m]) for m in pick_measures(measures)])

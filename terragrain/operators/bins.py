@@ -21,8 +21,17 @@ class PixelGrid:
     res_y: float
 
     @classmethod
-    def over(cls, min_x: float, min_y: float, max_x: float, max_y: float, res: float) -> PixelGrid:
-        return cls(math.ceil((max_x - min_x) / res), math.ceil((max_y - min_y) / res), min_x, max_y, res, res)
+    def over(cls, min_x: float, min_y: float, max_x: float, max_y: float, res: float, res_y: float | None = None) -> PixelGrid:
+        res_y = res if res_y is None else res_y
+        return cls(max(1, math.ceil((max_x - min_x) / res)), max(1, math.ceil((max_y - min_y) / res_y)), min_x, max_y, res, res_y)
+
+    @classmethod
+    def of(cls, points: DataFrame, res: float, res_y: float | None = None) -> PixelGrid:
+        """Over the extent of the points: one aggregation, four numbers to the driver."""
+        e = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+        if e[0] is None:
+            raise ValueError("no points")
+        return cls.over(*e, res, res_y)
 
     @property
     def max_x(self) -> float:

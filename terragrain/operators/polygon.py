@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..spec import GridSpec
 
 Segment = tuple[float, float, float, float]
-#: Segments written into the expression itself; more are joined by strips of y.
-INLINE = 64
+#: Segments written into the expression itself, so few that the generated method stays small; more are joined by strips of y.
+INLINE = 16
 #: Segment copies over strips up to which the strip table is broadcast (about 40 bytes each).
 BROADCAST_SEGMENTS = 500_000
 
@@ -23,14 +23,15 @@ def segments_of(rings: list[list[tuple[float, float]]]) -> list[Segment]:
     return out
 
 
+def upward(segments: list[Segment]) -> list[Segment]:
+    """Segments from their lower to their upper end; horizontal ones meet no ray towards greater x and go."""
+    return [(x1, y1, x2, y2) if y1 < y2 else (x2, y2, x1, y1) for x1, y1, x2, y2 in segments if y1 != y2]
+
+
 def crosses(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, y: Column) -> Column:
-    """1 if a ray from (x, y) towards greater x crosses the segment. An end vertex, a horizontal segment and a
-    point on the segment count as no crossing; of the ends, an edge owns its lower one."""
-    turn = F.signum((x2 - x1) * (y - y2) - (y2 - y1) * (x - x2))
-    side = F.when(y2 < y1, -turn).otherwise(turn)
-    spans = ((y1 > y) & (y2 <= y)) | ((y2 > y) & (y1 <= y))
-    left, end = (x1 < x) & (x2 < x), (x == x2) & (y == y2)
-    return F.when(~left & ~end & spans & (side > 0), 1).otherwise(0)
+    """Whether a ray from (x, y) towards greater x crosses an upward segment: y lies in [y1, y2) and the point strictly left
+    of the segment. So an edge owns its lower end, and a point on an edge is not inside because of it."""
+    return (y >= y1) & (y < y2) & ((x - x1) * (y2 - y1) < (x2 - x1) * (y - y1))
 
 
 def strip_table(spark: SparkSession, segments: list[Segment], strips: int | None = None) -> tuple[DataFrame, float, float, int]:
@@ -45,17 +46,19 @@ def strip_table(spark: SparkSession, segments: list[Segment], strips: int | None
 
 
 def in_polygon(points: DataFrame, segments: list[Segment], x: str = "x", y: str = "y", strips: int | None = None) -> DataFrame:
-    """``points`` with a boolean column ``inside``. Points never move: segments come to them by strip."""
+    """``points`` with a boolean column ``inside`` (false for null coordinates). Segments come to the points by strip of y:
+    by broadcast up to BROADCAST_SEGMENTS, and only beyond that do points move to the strips."""
     px, py = F.col(x), F.col(y)
+    segments = upward(segments)
     if not segments:
         return points.withColumn("inside", F.lit(False))
     if len(segments) <= INLINE and strips is None:
-        total = sum((crosses(*map(F.lit, s), px, py) for s in segments), F.lit(0))
-        return points.withColumn("inside", total % 2 == 1)
+        total = sum((crosses(*map(F.lit, s), px, py).cast("int") for s in segments), F.lit(0))
+        return points.withColumn("inside", F.coalesce(total % 2 == 1, F.lit(False)))
     table, low, height, size = strip_table(points.sparkSession, segments, strips)
     table = F.broadcast(table) if size <= BROADCAST_SEGMENTS else table
     joined = points.withColumn("strip", F.floor((py - low) / height).cast("int")).join(table, "strip", "left")
-    count = F.aggregate("segs", F.lit(0), lambda n, s: n + crosses(s["x1"], s["y1"], s["x2"], s["y2"], px, py))
+    count = F.aggregate("segs", F.lit(0), lambda n, s: n + crosses(s["x1"], s["y1"], s["x2"], s["y2"], px, py).cast("int"))
     return joined.withColumn("inside", F.coalesce(count, F.lit(0)) % 2 == 1).drop("strip", "segs")
 
 
@@ -69,9 +72,7 @@ def outside_nodes(spark: SparkSession, spec: GridSpec, segments: list[Segment])
     """Nodes none of whose four corners (the node and its right, upper and upper right neighbours) is inside."""
     nodes = spark.range(spec.nodes).select((F.col("id") % spec.gx).cast("int").alias("i"), F.expr(f"id div {spec.gx}").cast("int").alias("j"))
     x, y = F.col("i") * spec.dx + spec.min_x, F.col("j") * spec.dy + spec.min_y
-    flags = []
     for n, (a, b) in enumerate(((0.0, 0.0), (spec.dx, 0.0), (spec.dx, spec.dy), (0.0, spec.dy))):
-        nodes = nodes.withColumn("__x", x + a).withColumn("__y", y + b)
-        nodes = in_polygon(nodes, segments, "__x", "__y").withColumnRenamed("inside", f"__in{n}")
-        flags.append(~F.col(f"__in{n}"))
-    return nodes.where(flags[0] & flags[1] & flags[2] & flags[3]).select("i", "j")
+        nodes = in_polygon(nodes.withColumn("__x", x + a).withColumn("__y", y + b), segments, "__x", "__y")
+        nodes = nodes.where(~F.col("inside")).select("i", "j")
+    return nodes

@@ -104,31 +104,38 @@ def dense(nodes: DataFrame, spec: GridSpec) -> DataFrame:
     return every.join(nodes, ["i", "j"], "left")
 
 
-def write_all(nodes: DataFrame, spec: GridSpec, o: Options, prefix: str, formats: tuple[str, ...] = ("arc", "grid", "tif")) -> list[str]:
-    """One file per measure and format; the nodes are computed once and kept by Spark meanwhile."""
-    nodes, out = nodes.persist(), []
-    try:
-        for m in pick_measures(o.measures):
-            if MEASURES[m] not in nodes.columns:
-                continue
-            for kind in formats:
-                path = output_name(prefix, m, {"arc": "asc", "grid": "grid", "tif": "tif"}[kind])
-                if kind == "tif":
-                    write_geotiff(nodes, spec, m, path, o.epsg, o.bigtiff)
-                else:
-                    write_text(nodes, spec, m, path, kind)
-                out.append(path)
-    finally:
-        nodes.unpersist()
+def write_all(nodes: DataFrame, spec: GridSpec, o: Options, prefix: str, formats: tuple[str, ...] = ("arc", "grid", "tif"), shared: bool = False) -> list[str]:
+    """One file per measure and format. ``shared``: the files are on a file system of all executors, which then write them."""
+    out = []
+    for m in pick_measures(o.measures):
+        if MEASURES[m] not in nodes.columns:
+            continue
+        for kind in formats:
+            path = output_name(prefix, m, {"arc": "asc", "grid": "grid", "tif": "tif"}[kind])
+            if kind == "tif":
+                write_geotiff(nodes, spec, m, path, o.epsg, o.bigtiff, shared=shared)
+            else:
+                write_text(nodes, spec, m, path, kind, shared)
+            out.append(path)
     return out
 
 
-def run(spark: SparkSession, points: DataFrame, o: Options, prefix: str, formats: tuple[str, ...] = ("arc", "grid", "tif"), extent: BBox | None = None) -> tuple[list[str], Phases]:
+def run(spark: SparkSession, points: DataFrame, o: Options, prefix: str, formats: tuple[str, ...] = ("arc", "grid", "tif"), extent: BBox | None = None, shared: bool = False) -> tuple[list[str], Phases]:
+    """Points to files, with the seconds of: extent, plan, process (scan, stencil, exchange and aggregation, which Spark runs as
+    one), write, and total. A bbox or shape that the data does not overlap is an error, whatever the source."""
     ph = Phases()
-    with ph.phase("extent"):
-        spec = grid_spec(points, o, extent)
-    with ph.phase("plan"):
-        nodes = grid(points, spec, o)
-    with ph.phase("process and write"):
-        files = write_all(nodes, spec, o, prefix, formats)
+    with ph.phase("total"):
+        with ph.phase("extent"):
+            if extent is None and (o.bbox or o.shape):
+                extent = GridSpec.from_points(points, o.resolution_x, o.resolution_y).bbox
+            spec = grid_spec(points, o, extent)
+        with ph.phase("plan"):
+            nodes = grid(points, spec, o).persist()  # computed once for all files
+        try:
+            with ph.phase("process"):
+                nodes.count()
+            with ph.phase("write"):
+                files = write_all(nodes, spec, o, prefix, formats, shared)
+        finally:
+            nodes.unpersist()
     return files, ph

@@ -6,28 +6,21 @@ Floating results are rounded to six places on both sides, since sums depend on t
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
-import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import bbox as B
 from .functions import crs, point
 from .operators.bins import PixelGrid, bin_mean, longest_axis
-from .operators.blocks import BlockScheme, assign_blocks
+from .operators.blocks import BlockScheme, assign_blocks, sort_by_block
 from .operators.filters import header_overlaps, overlaps_closed
 from .operators.polygon import Segment, in_polygon, outside_nodes, segments_of
 from .plans import views
 from .plans.job import Options, grid, grid_spec
 from .sinks.text import raster_lines
-from .sources import read_ascii, read_las
-from .sources.las import write_las
 from .spec import MEASURES, GridSpec, default_radius
-from .streaming.live import live_grid
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,28 +170,51 @@ SELECT g.j, string_agg(CASE WHEN n.i IS NULL THEN '-9999 ' ELSE printf('%.6f ',
   string_agg(CASE WHEN n.i IS NULL THEN '-9999 ' ELSE printf('%d ', n.den) END, '' ORDER BY g.i) AS den_line FROM g LEFT JOIN n ON g.i = n.i AND g.j = n.j GROUP BY g.j""")
 
 
-PIX = PixelGrid(30, 75, 0.0, 720.0, 5.0, 10.0)
-SCHEME = BlockScheme.fit(PIX, 100, 7)
-PIX_SQL = f"""px AS (SELECT *, CAST(least(floor((x - {PIX.ox!r}) / {PIX.res_x!r}), {PIX.cols - 1}) AS INTEGER) AS col, CAST(least(floor(({PIX.oy!r} - y) / {PIX.res_y!r}), {PIX.rows - 1}) AS INTEGER) AS row
-  FROM src WHERE x BETWEEN {PIX.ox!r} AND {PIX.max_x!r} AND y BETWEEN {PIX.min_y!r} AND {PIX.oy!r})"""
-BLOCK_SQL = f"(row // {SCHEME.b_rows}) * {SCHEME.cols} + col // {SCHEME.b_cols}"
+RES, B_LIMIT, PROCS = (5.0, 10.0), 100, 7
+#: The pixel window over the whole table, and the tiling of it in blocks of 10 x 10 pixels.
+PIX_SQL = f"""ext AS (SELECT min(x) AS x0, max(y) AS y1, CAST(greatest(1, ceil((max(x) - min(x)) / {RES[0]!r})) AS BIGINT) AS cols, CAST(greatest(1, ceil((max(y) - min(y)) / {RES[1]!r})) AS BIGINT) AS rows FROM src),
+tiles AS (SELECT *, CAST(ceil(cols / 10.0) AS BIGINT) AS b_cols, CAST(ceil(rows / 10.0) AS BIGINT) AS b_rows FROM ext),
+px AS (SELECT *, CAST(least(floor((x - x0) / {RES[0]!r}), cols - 1) AS INTEGER) AS col, CAST(least(floor((y1 - y) / {RES[1]!r}), rows - 1) AS INTEGER) AS row FROM src, tiles)"""
+
+
+def pixels(points: DataFrame) -> tuple[PixelGrid, BlockScheme]:
+    g = PixelGrid.of(points, *RES)
+    return g, BlockScheme.fit(g, B_LIMIT, PROCS)
 
 
 def _toolkit() -> None:
     evt = views.SQL["evt"]
-    register("bin_mean", lambda s, d: rounded(bin_mean(views.event_points(s, d), PIX)), f"WITH src AS ({evt}), {PIX_SQL} SELECT row, col, count(*) AS count, round(avg(z), 6) AS mean FROM px GROUP BY row, col")
-    blocks = f"WITH src AS ({evt}), {PIX_SQL}, b AS (SELECT pid, CAST({BLOCK_SQL} AS BIGINT) AS block FROM px)"
-    assigned = lambda s, d: assign_blocks(views.event_points(s, d), PIX, SCHEME)
-    register("block_assign", lambda s, d: assigned(s, d).select("pid", "block", "rank"), f"{blocks} SELECT pid, block, CAST(block % {SCHEME.procs} AS INTEGER) AS rank FROM b")
-    register("block_rank", lambda s, d: assigned(s, d).groupBy("rank").agg(F.count(F.lit(1)).alias("points"), F.count_distinct("block").alias("blocks")), f"{blocks} SELECT CAST(block % {SCHEME.procs} AS INTEGER) AS rank, count(*) AS points, count(DISTINCT block) AS blocks FROM b GROUP BY 1")
+
+    def means(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = views.event_points(spark, sf_dir)
+        return rounded(bin_mean(p, pixels(p)[0]))
+
+    register("bin_mean", means, f"WITH src AS ({evt}), {PIX_SQL} SELECT row, col, count(*) AS count, round(avg(z), 6) AS mean FROM px GROUP BY row, col")
+    blocks = f"WITH src AS ({evt}), {PIX_SQL}, b AS (SELECT pid, (row // 10) * b_cols + col // 10 AS block FROM px)"
+
+    def assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+        p = views.event_points(spark, sf_dir)
+        return assign_blocks(p, *pixels(p))
+
+    register("block_assign", lambda s, d: assigned(s, d).select("pid", "block", "rank"), f"{blocks} SELECT pid, block, CAST(block % {PROCS} AS INTEGER) AS rank FROM b")
+    register("block_rank", lambda s, d: assigned(s, d).groupBy("rank").agg(F.count(F.lit(1)).alias("points"), F.count_distinct("block").alias("blocks")), f"{blocks} SELECT CAST(block % {PROCS} AS INTEGER) AS rank, count(*) AS points, count(DISTINCT block) AS blocks FROM b GROUP BY 1")
     register("distinct_blocks", lambda s, d: assigned(s, d).select("block").distinct(), f"{blocks} SELECT DISTINCT block FROM b")
 
     def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-        b = F.col("id")
-        at = SCHEME.position_of(b)
-        return spark.range(SCHEME.count).select(b.alias("block"), SCHEME.rank_of(b).alias("rank"), at[0].alias("block_col"), at[1].alias("block_row"))
+        scheme, b = pixels(views.event_points(spark, sf_dir))[1], F.col("id")
+        at = scheme.position_of(b)
+        return spark.range(scheme.count).select(b.alias("block"), scheme.rank_of(b).alias("rank"), at[0].alias("block_col"), at[1].alias("block_row"))
+
+    register("block_count", counts, f"WITH src AS ({evt}), {PIX_SQL} SELECT b AS block, CAST(b % {PROCS} AS INTEGER) AS rank, b % b_cols AS block_col, b // b_cols AS block_row FROM (SELECT unnest(range(b_cols * b_rows)) AS b, b_cols FROM tiles)")
+
+    def block_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Blocks dealt to partitions by rank and sorted within: each row's rank and block, and whether the block before it in the partition is no larger."""
+        p = views.event_points(spark, sf_dir)
+        rows = sort_by_block(p, *pixels(p)).select("pid", "rank", "block", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("n"))
+        w = Window.partitionBy("part").orderBy("n")
+        return rows.select("pid", "rank", "block", (F.coalesce(F.lag("block").over(w), F.lit(-1)) <= F.col("block")).alias("in_order"))
 
-    register("block_count", counts, f"SELECT b AS block, CAST(b % {SCHEME.procs} AS INTEGER) AS rank, b % {SCHEME.cols} AS block_col, b // {SCHEME.cols} AS block_row FROM range({SCHEME.count}) t(b)")
+    register("block_sort", lambda s, d: block_sort(s, d).groupBy("rank").agg(F.count(F.lit(1)).alias("points"), F.max("block").alias("last"), F.bool_and("in_order").alias("in_order")), f"{blocks} SELECT CAST(block % {PROCS} AS INTEGER) AS rank, count(*) AS points, max(block) AS last, true AS in_order FROM b GROUP BY 1")
 
     def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
         a, o = (F.col("x"), F.col("y"), F.col("z")), (F.lit(5.0), F.lit(15.0), F.lit(25.0))
@@ -227,10 +243,11 @@ def _toolkit() -> None:
     def roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = views.customer_lonlat(spark, sf_dir)
         p = p.select("*", crs.to_geocentric(F.col("lon"), F.col("lat"), F.col("h")).alias("g"))
-        p = p.select("pid", F.col("h").alias("h0"), crs.to_geodetic(F.col("g.x"), F.col("g.y"), F.col("g.z")).alias("b"))
-        return p.select("pid", F.round("b.lon", 4).alias("lon"), F.round("b.lat", 4).alias("lat"), (F.abs(F.col("b.h") - F.col("h0")) < 0.05).alias("h_close"))
+        p = p.select("pid", crs.to_geodetic(F.col("g.x"), F.col("g.y"), F.col("g.z")).alias("b"))
+        return p.select("pid", F.round("b.lon", 7).alias("lon"), (F.round("b.lat", 7) + 0.0).alias("lat"), F.round("b.h", 4).alias("h"))
 
-    register("geodetic_roundtrip", roundtrip, f"WITH src AS ({views.SQL['geo']}) SELECT pid, round(lon, 4) AS lon, round(lat, 4) AS lat, h IS NOT NULL AS h_close FROM src")
+    # Its right result is where the points came from, which SQL has at hand.
+    register("geodetic_roundtrip", roundtrip, f"WITH src AS ({views.SQL['geo']}) SELECT pid, round(lon, 7) AS lon, round(lat, 7) + 0.0 AS lat, round(h, 4) AS h FROM src")
 
     def subdivide(spark: SparkSession, sf_dir: str) -> DataFrame:
         b = B.box_of(views.event_points(spark, sf_dir)).select(F.explode(B.subdivide(F.col("box"))).alias("q"))
@@ -251,52 +268,9 @@ def _toolkit() -> None:
 SELECT file, a < 75.0 AND c > 24.0 AND b < 500.0 AND d > 100.0 AS scan, a <= 75.0 AND c >= 24.0 AND b <= 500.0 AND d >= 100.0 AS touches FROM t""")
 
 
-def workspace(spark: SparkSession) -> str:
-    """A folder for generated files: in the shared one if that is a plain path, else a temporary one (local runs)."""
-    path = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://")
-    path = os.path.join(path if "://" not in path else tempfile.gettempdir(), f"terragrain-files-{uuid.uuid4().hex}")
-    os.makedirs(path)
-    return path
-
-
-def _sources() -> None:
-    n = 5000
-
-    def las(spark: SparkSession, sf_dir: str) -> DataFrame:
-        k, folder = np.arange(n), workspace(spark)
-        pts = np.stack([k * 37 % 1000 / 10, k * 61 % 700 / 10, k % 97 / 4], axis=1)
-        attr = {"return_number": k % 3 + 1, "return_count": np.full(n, 3), "classification": k % 5}
-        for name, rows, minor, fmt in (("a.las", slice(0, 2000), 2, 0), ("b.las", slice(2000, n), 4, 6)):
-            write_las(f"{folder}/{name}", pts[rows], 0.01, minor, fmt, {c: v[rows] for c, v in attr.items()})
-        p = read_las(spark, [f"{folder}/a.las", f"{folder}/b.las"], ["x", "y", "z", "return_number", "return_count", "classification"], points_per_task=700)
-        return rounded(p.where(F.col("x") < 50), 4)
-
-    register("las_scan", las, f"""WITH k AS (SELECT k FROM range({n}) t(k)) SELECT round(k * 37 % 1000 / 10, 4) AS x, round(k * 61 % 700 / 10, 4) AS y, round(k % 97 / 4, 4) AS z,
-  CAST(k % 3 + 1 AS SMALLINT) AS return_number, CAST(3 AS SMALLINT) AS return_count, CAST(k % 5 AS SMALLINT) AS classification FROM k WHERE k * 37 % 1000 / 10 < 50""")
-
-    def text(spark: SparkSession, sf_dir: str) -> DataFrame:
-        folder = workspace(spark)
-        views.lineitem_points(spark, sf_dir).select("x", "y", "z", "classification").write.mode("overwrite").csv(f"{folder}/points", header=True)
-        p = read_ascii(spark, f"{folder}/points")
-        return rounded(p.groupBy("x", "y").agg(F.count(F.lit(1)).alias("points"), F.sum("z").alias("sum_z")), 2)
-
-    register("ascii_scan", text, f"WITH src AS ({views.SQL['li']}) SELECT round(x, 2) AS x, round(y, 2) AS y, count(*) AS points, round(sum(z), 2) AS sum_z FROM src GROUP BY 1, 2")
-
-    def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-        t = spark.read.parquet(f"{sf_dir}/events.parquet")
-        s = spark.readStream.schema(t.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-        pts = s.select(F.col("user_id").cast("double").alias("x"), F.col("value").alias("z"), ((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / F.lit(3600000000.0)).alias("y"))
-        name = f"live_{uuid.uuid4().hex}"
-        nodes = live_grid(pts, GridSpec.from_bbox(BOX, 6.0), measures=["min", "max", "mean", "den"])
-        q = nodes.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{workspace(spark)}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-        return rounded(spark.table(name))
-
-    register("stream_grid", stream, grid_sql("evt", 6.0, box=BOX) + "SELECT i, j, round(zmin, 6) AS zmin, round(zmax, 6) AS zmax, round(zmean, 6) AS zmean, den FROM n")
-
-
 _grids()
 _polygons()
 _fills()
 _toolkit()
-_sources()
+
+from . import file_queries  # noqa: E402, F401  registers the queries that write and read files

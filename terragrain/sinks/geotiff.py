@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,25 +92,42 @@ def head(spec: GridSpec, epsg: int, big: bool, wkt: str | None = None, transform
     return out + struct.pack("<Q" if big else "<I", 0) + tail
 
 
-def write_geotiff(nodes: DataFrame, spec: GridSpec, measure: str, path: str, epsg: int = 0, big: bool = True, wkt: str | None = None, transform: tuple[float, ...] | None = None) -> None:
-    """Strips are packed by the executors and streamed to the file in order, one partition at a time."""
+def strip_sizes(spec: GridSpec) -> list[int]:
+    per = rows_per_strip(spec)
+    return [4 * spec.gx * min(per, spec.gy - k * per) for k in range(-(-spec.gy // per))]
+
+
+def write_geotiff(nodes: DataFrame, spec: GridSpec, measure: str, path: str, epsg: int = 0, big: bool = True, wkt: str | None = None, transform: tuple[float, ...] | None = None, shared: bool = False) -> None:
+    """Strips are packed by the executors. They are streamed to the file in order, one partition at a time; where ``path`` is
+    on a file system that all executors share (``shared``), each task puts its strips at their places itself, since the size of
+    every strip is known, and nothing but the head passes through the driver."""
     if epsg < 0:
         raise ValueError("EPSG codes are positive")
-    per, due = rows_per_strip(spec), 0
+    top, sizes, packed = head(spec, epsg, big, wkt, transform), strip_sizes(spec), strips(nodes, spec, measure)
+    every = nodes.sparkSession.range(len(sizes)).select(F.col("id").cast("int").alias("strip"))
+    packed = every.join(packed, "strip", "left")  # strips without a populated node are written too
+    blank = lambda k: np.full(sizes[k] // 4, NODATA, "<f4").tobytes()
+    if not shared:
+        with open(path, "wb") as f:
+            f.write(top)
+            for r in packed.orderBy("strip").toLocalIterator():
+                f.write(r["data"] if r["data"] is not None else blank(r["strip"]))
+        return
+    full, start, plain = 4 * spec.gx * rows_per_strip(spec), len(top), sizes[-1]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "r+b") as f:
+            for b in batches:
+                for k, data in zip(b.column("strip").to_pylist(), b.column("data").to_pylist()):
+                    f.seek(start + k * full)
+                    f.write(data if data is not None else np.full((plain if k == last else full) // 4, NODATA, "<f4").tobytes())
+                yield b.select(["strip"])
+
+    last = len(sizes) - 1
     with open(path, "wb") as f:
-        f.write(head(spec, epsg, big, wkt, transform))
-
-        def blank(to: int) -> None:
-            nonlocal due
-            while due < to:
-                f.write(np.full(spec.gx * min(per, spec.gy - due * per), NODATA, "<f4").tobytes())
-                due += 1
-
-        for r in strips(nodes, spec, measure).orderBy("strip").toLocalIterator():
-            blank(r["strip"])
-            f.write(r["data"])
-            due += 1
-        blank(-(-spec.gy // per))
+        f.write(top)
+        f.truncate(start + sum(sizes))
+    packed.mapInArrow(put, "strip int").write.format("noop").mode("overwrite").save()
 
 
 def read_geotiff(path: str) -> tuple[np.ndarray, dict[int, tuple]]:

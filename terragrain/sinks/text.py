@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,13 +43,38 @@ def raster_lines(nodes: DataFrame, spec: GridSpec, measure: str) -> DataFrame:
     return every.join(rows, "j", "left").select("j", F.coalesce("line", F.lit(empty * spec.gx) if spec.gx <= 4096 else F.repeat(F.lit(empty), spec.gx)).alias("line"))
 
 
-def write_text(nodes: DataFrame, spec: GridSpec, measure: str, path: str, kind: str = "arc") -> None:
-    """One file: header, then rows streamed to it in order, one partition at a time."""
-    header = {"arc": arc_header, "grid": grid_header}[kind](spec)
+HEADERS = {"arc": arc_header, "grid": grid_header}
+
+
+def write_text(nodes: DataFrame, spec: GridSpec, measure: str, path: str, kind: str = "arc", shared: bool = False) -> None:
+    """One file: header, then rows streamed to it in order, one partition at a time. Where ``path`` is on a file system that all
+    executors share (``shared``), the lengths of the rows (one number a row of the grid) give their places first, and each
+    task then puts its rows there itself."""
+    header, lines = HEADERS[kind](spec), raster_lines(nodes, spec, measure)
+    if not shared:
+        with open(path, "w") as f:
+            f.write(header)
+            for r in lines.orderBy(F.desc("j")).toLocalIterator():
+                f.write(r["line"] + "\n")
+        return
+    sizes = np.zeros(spec.gy, np.int64)
+    for r in lines.select("j", F.length("line").alias("n")).toLocalIterator():
+        sizes[spec.gy - 1 - r["j"]] = r["n"] + 1
+    starts = len(header) + np.concatenate([[0], np.cumsum(sizes)])
     with open(path, "w") as f:
         f.write(header)
-        for r in raster_lines(nodes, spec, measure).orderBy(F.desc("j")).toLocalIterator():
-            f.write(r["line"] + "\n")
+        f.truncate(int(starts[-1]))
+    at = nodes.sparkSession.sparkContext.broadcast(starts)  # eight bytes a row of the grid
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with open(path, "r+b") as f:
+            for b in batches:
+                for j, line in zip(b.column("j").to_pylist(), b.column("line").to_pylist()):
+                    f.seek(int(at.value[spec.gy - 1 - j]))
+                    f.write(line.encode() + b"\n")
+                yield b.select(["j"])
+
+    lines.mapInArrow(put, "j int").write.format("noop").mode("overwrite").save()
 
 
 def write_text_parts(nodes: DataFrame, spec: GridSpec, measure: str, path: str) -> None:

@@ -6,14 +6,18 @@ x and y prune whole files by their header before any point is read; the option `
 
 from __future__ import annotations
 
-import mmap
+import os
 import struct
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 #: Fixed record lengths by point format, used where the header gives none.
@@ -24,6 +28,8 @@ COLUMNS = {
     "file": ("string", pa.string()), "idx": ("bigint", pa.int64()),
 }
 POINTS_PER_TASK, POINTS_PER_BATCH = 4_000_000, 262_144
+#: Headers read at once where a scan is planned.
+PEEKS = 32
 HEADER_SCHEMA = "file string, version string, format int, stride int, offset bigint, points bigint, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
 
 
@@ -82,12 +88,20 @@ def parse_header(data: bytes, size: int, file: str = "", strict: bool = True) ->
     return Header(file, major, minor, fmt, stride, offset, n, scale, shift, (lx, ly, lz), (hx, hy, hz))
 
 
+def open_file(path: str) -> pa.NativeFile:
+    """A file for reading ranges: a plain path, or a URL of any file system that Arrow knows (file, hdfs, s3, gs)."""
+    if "://" not in path and not path.startswith("file:"):
+        return pa.OSFile(path, "rb")
+    if path.startswith("file:"):
+        path = "file://" + path.removeprefix("file:").removeprefix("//")
+    system, at = fs.FileSystem.from_uri(path)
+    return system.open_input_file(at)
+
+
 def peek(path: str, strict: bool = True) -> Header:
     """The header alone; no point is read."""
-    with open(path, "rb") as f:
-        data = f.read(375)
-        f.seek(0, 2)
-        return parse_header(data, f.tell(), path, strict)
+    with open_file(path) as f:
+        return parse_header(f.read(375), f.size(), path, strict)
 
 
 def decode(buf: memoryview, h: Header, start: int, count: int, columns: list[str], strict: bool = False, base: int | None = None) -> pa.RecordBatch:
@@ -122,6 +136,7 @@ class LasReader(DataSourceReader):
         self.columns = options.get("columns", ",".join(COLUMNS)).split(",")
         self.strict = options.get("strict", "true").lower() == "true"
         self.per_task = int(options.get("pointspertask", POINTS_PER_TASK))
+        self.start, self.count = int(options.get("start", 0)), int(options.get("count", -1))
         box = options.get("bbox")
         self.low, self.high = [-np.inf, -np.inf], [np.inf, np.inf]
         if box:
@@ -139,21 +154,27 @@ class LasReader(DataSourceReader):
             yield f
 
     def partitions(self) -> list[Range]:
+        """Headers are peeked at many at a time; of each file the points ``start`` to ``start + count`` are dealt to tasks."""
         out = []
-        for path in self.paths:
-            h = peek(path, self.strict)
+        with ThreadPoolExecutor(PEEKS) as pool:
+            headers = list(pool.map(lambda p: peek(p, self.strict), self.paths))
+        for h in headers:
             if any(h.low[k] > self.high[k] or h.high[k] < self.low[k] for k in (0, 1)):
                 continue
-            out += [Range(h, s, min(self.per_task, h.points - s)) for s in range(0, h.points, self.per_task)]
+            end = h.points if self.count < 0 else min(h.points, self.start + self.count)
+            out += [Range(h, s, min(self.per_task, end - s)) for s in range(self.start, end, self.per_task)]
         return out or [Range(None, 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if part.header is None or part.count == 0:
+        """Reads the task's range of the file and nothing else, a batch of points at a time."""
+        h = part.header
+        if h is None or part.count <= 0:
             return
-        with open(part.header.file, "rb") as f, mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as m:
+        with open_file(h.file) as f:
             for s in range(part.start, part.start + part.count, POINTS_PER_BATCH):
                 n = min(POINTS_PER_BATCH, part.start + part.count - s)
-                yield decode(memoryview(m[part.header.offset + s * part.header.stride : part.header.offset + (s + n) * part.header.stride]), part.header, s, n, self.columns, self.strict, base=0)
+                f.seek(h.offset + s * h.stride)
+                yield decode(memoryview(f.read_buffer(n * h.stride)), h, s, n, self.columns, self.strict, base=0)
 
 
 class LasDataSource(DataSource):
@@ -168,11 +189,12 @@ class LasDataSource(DataSource):
         return LasReader(self.options)
 
 
-def read_las(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, bbox: tuple[float, float, float, float] | None = None, strict: bool = True, points_per_task: int = POINTS_PER_TASK) -> DataFrame:
-    """Points of all files, a bag union. ``bbox`` prunes files by their headers; points are not filtered by it."""
+def read_las(spark: SparkSession, paths: str | list[str], columns: list[str] | None = None, bbox: tuple[float, float, float, float] | None = None, strict: bool = True, points_per_task: int = POINTS_PER_TASK, start: int = 0, count: int = -1) -> DataFrame:
+    """Points of all files, a bag union. ``bbox`` prunes files by their headers; points are not filtered by it. Of each file the
+    points from number ``start`` on are read, at most ``count`` of them (-1: all); ``extent_of`` gives the extent of such a part."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(LasDataSource)
-    r = spark.read.format("las").option("paths", "\n".join([paths] if isinstance(paths, str) else paths)).option("strict", str(strict).lower()).option("pointspertask", points_per_task)
+    r = spark.read.format("las").option("paths", "\n".join([paths] if isinstance(paths, str) else paths)).option("strict", str(strict).lower()).option("pointspertask", points_per_task).option("start", start).option("count", count)
     if columns:
         r = r.option("columns", ",".join(columns))
     if bbox:
@@ -180,8 +202,14 @@ def read_las(spark: SparkSession, paths: str | list[str], columns: list[str] | N
     return r.load()
 
 
+def extent_of(points: DataFrame) -> tuple[float, ...]:
+    """min_x, min_y, min_z, max_x, max_y, max_z of what is read, found anew from the points."""
+    return tuple(points.agg(*[f(c) for f in (F.min, F.max) for c in "xyz"]).first())
+
+
 def read_las_binary(spark: SparkSession, path: str, columns: list[str] | None = None, strict: bool = True) -> DataFrame:
-    """The same through Spark's own file systems (any URL that Spark can read): one task decodes one whole file."""
+    """The same through Spark's own file systems, for URLs that Arrow cannot open: one task decodes one whole file, of less than
+    2 GiB. Larger files are read by ranges, see ``read_las``."""
     cols = columns or list(COLUMNS)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,11 +239,8 @@ def las_headers(spark: SparkSession, paths: list[str], strict: bool = True) -> D
 _ARROW = {c.split(" ")[0]: {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[c.split(" ")[1]] for c in HEADER_SCHEMA.split(", ")}
 
 
-def write_las(path: str, points: np.ndarray, scale: float = 0.01, minor: int = 2, fmt: int = 0, attributes: dict[str, np.ndarray] | None = None) -> None:
-    """A small LAS file of an (n, 3) array; for tests and examples."""
-    a, n, stride = attributes or {}, len(points), STRIDES[fmt]
-    wide, size = fmt >= 6, 375 if minor == 4 else 227
-    low, high = (points.min(axis=0), points.max(axis=0)) if n else (np.zeros(3), np.zeros(3))
+def header_bytes(n: int, low: np.ndarray, high: np.ndarray, scale: float, minor: int, fmt: int) -> bytes:
+    stride, size = STRIDES[fmt], 375 if minor == 4 else 227
     head = bytearray(size)
     head[:4] = b"LASF"
     head[24:26] = bytes([1, minor])
@@ -226,12 +251,50 @@ def write_las(path: str, points: np.ndarray, scale: float = 0.01, minor: int = 2
     struct.pack_into("<6d", head, 179, high[0], low[0], high[1], low[1], high[2], low[2])
     if minor == 4:
         struct.pack_into("<Q", head, 247, n)
-    body = np.zeros((n, stride), np.uint8)
+    return bytes(head)
+
+
+def record_bytes(points: np.ndarray, scale: float, fmt: int, a: dict[str, np.ndarray]) -> bytes:
+    n, wide = len(points), fmt >= 6
+    body = np.zeros((n, STRIDES[fmt]), np.uint8)
     body[:, :12] = np.round(points / scale).astype("<i4").view(np.uint8).reshape(n, 12)
     body[:, 12:14] = a.get("intensity", np.zeros(n)).astype("<u2").view(np.uint8).reshape(n, 2)
     rn, rc, cl = (a.get(k, np.full(n, v)).astype(np.uint8) for k, v in (("return_number", 1), ("return_count", 1), ("classification", 0)))
     body[:, 14] = rn | rc << (4 if wide else 3)
     body[:, 16 if wide else 15] = cl
+    return body.tobytes()
+
+
+def write_las(path: str, points: np.ndarray, scale: float = 0.01, minor: int = 2, fmt: int = 0, attributes: dict[str, np.ndarray] | None = None) -> None:
+    """A small LAS file of an (n, 3) array; for tests and examples."""
+    points = np.round(points / scale) * scale
+    low, high = (points.min(axis=0), points.max(axis=0)) if len(points) else (np.zeros(3), np.zeros(3))
     with open(path, "wb") as f:
-        f.write(head)
-        f.write(body.tobytes())
+        f.write(header_bytes(len(points), low, high, scale, minor, fmt))
+        f.write(record_bytes(points, scale, fmt, attributes or {}))
+
+
+def write_las_tiles(points: DataFrame, folder: str, scale: float = 0.01, minor: int = 2, fmt: int = 0) -> list[str]:
+    """One LAS file for each partition of ``points`` (x, y, z and any of the attributes), written by its task into ``folder``, a
+    path that all executors share; returns the files. A task that is run again replaces its file as a whole."""
+    cols = ["x", "y", "z", *[c for c in ("intensity", "return_number", "return_count", "classification") if c in points.columns]]
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        path, part = (f"{folder}/part-{task.partitionId():06d}{x}" for x in (".las", f".las.{task.attemptNumber()}"))
+        n, low, high = 0, np.full(3, np.inf), np.full(3, -np.inf)
+        with open(part, "wb") as f:
+            f.write(header_bytes(0, np.zeros(3), np.zeros(3), scale, minor, fmt))
+            for b in batches:
+                if b.num_rows:
+                    a = {c: b.column(c).to_numpy(zero_copy_only=False) for c in cols}
+                    xyz = np.round(np.stack([a.pop(c) for c in "xyz"], axis=1) / scale) * scale
+                    n, low, high = n + len(xyz), np.minimum(low, xyz.min(axis=0)), np.maximum(high, xyz.max(axis=0))
+                    f.write(record_bytes(xyz, scale, fmt, a))
+            f.seek(0)
+            f.write(header_bytes(n, low, high, scale, minor, fmt) if n else header_bytes(0, np.zeros(3), np.zeros(3), scale, minor, fmt))
+        os.replace(part, path)
+        yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    os.makedirs(folder, exist_ok=True)
+    return sorted(r["path"] for r in points.select(*cols).mapInArrow(put, "path string").collect())  # one row a file

@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
     s = (
         SparkSession.builder.master("local[4]").appName("terragrain-tests")
         .config("spark.driver.memory", "4g").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.codegen.fallback", "false")  # generated code that does not compile is an error, not a slow plan
         .config("spark.sql.session.timeZone", "UTC").config("spark.sql.warehouse.dir", str(tmp / "warehouse")).config("spark.checkpoint.dir", str(tmp / "shared"))
         .getOrCreate()
     )
