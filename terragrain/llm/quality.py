@@ -1,28 +1,29 @@
 """Quality classifier: an interpolated modified Kneser-Ney n-gram model over characters.
 
-The model is trained on all trusted text. Its symbols are the most frequent characters of that text plus one for
-every other character, one for any capital and one for any digit, so that an n-gram is a whole number below
-SYMBOLS ** ORDER: that bounds every count table, whatever the corpus holds. Counts are gathered per shard of
-the corpus and added up by n-gram; continuation counts, discounts and interpolation weights come from joins of
-the count tables of neighbouring orders, each sharded by its n-gram. Documents whose perplexity lies above the
-threshold of their language are rejected; the threshold is a quantile over all trusted documents of it.
+The model is trained on all trusted text. Its symbols are the characters themselves, of any script, with one symbol for
+any capital and one for any digit; an n-gram is ORDER of them in one long, and the count tables grow with what the corpus
+holds. Counts are gathered per task and added up by n-gram; continuation counts, discounts and interpolation weights come from joins of
+the count tables of neighbouring orders, each sharded by its n-gram. Scoring is a join as well: documents are dealt into
+chunks, a chunk asks for its different n-grams, these meet the count tables shard by shard, and what they cost comes back to the chunk,
+which adds it up for each document. Documents whose perplexity lies outside the quantiles of their language are rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialise, table
+from ._shared import KEY, materialise, row_key, small, table, without
 
-ORDER, SYMBOLS = 4, 48
-#: Code of any capital, of any digit, of a character outside the alphabet; the alphabet follows.
-CAPITAL, DIGIT, OTHER, FIRST = 0, 1, 2, 3
+ORDER, BITS = 4, 16
+#: Symbols of any capital and of any digit; a character that would take one of them takes the next.
+CAPITAL, DIGIT, FIRST = 1, 2, 3
 #: The threshold: this quantile of the trusted documents' bits per character, plus MARGIN bits.
 QUANTILE, MARGIN = 0.996, 0.03
 #: A text of this many characters counts half: its bits are drawn half-way to the median of its language.
@@ -31,13 +32,25 @@ SHRINK = 60.0
 BIN = 0.001
 #: Trusted documents that a language needs for a threshold of its own; others take that of all languages.
 LEAST = 50
-#: Trusted ids (8 bytes each) up to which they are broadcast; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
-#: Characters that a worker scores at once.
-AT_ONCE = 4_000_000
+#: Bytes of text in a chunk, about; characters that a worker holds at once; values of an array that is addressed by n-gram.
+CHUNK, AT_ONCE, DENSE = 16_000_000, 4_000_000, 1 << 25
 
 
-def _chunks(texts: list) -> Iterator[list]:
+@lru_cache(maxsize=1)
+def symbols() -> np.ndarray:
+    """Code point -> symbol of BITS bits. Characters beyond the first 65,536 share those of the private area."""
+    out = np.arange(0x110000, dtype=np.int64)
+    out[0x10000:] = 0xE000 + out[0x10000:] % 0x1900
+    out = np.maximum(out, FIRST).astype(np.uint16)
+    for c in range(0x3000):
+        if chr(c).isupper():
+            out[c] = CAPITAL
+        elif chr(c).isdigit():
+            out[c] = DIGIT
+    return out
+
+
+def chunks(texts: list) -> Iterator[list[str]]:
     group, n = [], 0
     for t in texts:
         group.append(t or "")
@@ -49,77 +62,88 @@ def _chunks(texts: list) -> Iterator[list]:
         yield group
 
 
-def codes(texts: list[str], lut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all characters and the lengths; every text is led in by ORDER - 1 blanks."""
-    lead = " " * (ORDER - 1)
-    points = np.frombuffer("".join(lead + t for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")
-    return lut[points], np.fromiter(map(len, texts), np.int64, len(texts))
-
-
-def grams(code: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """n-gram numbers that end at each true character, and where each text begins among them."""
-    g = np.zeros(len(code) - ORDER + 1, np.int32)
-    for k in range(ORDER):
-        g = g * SYMBOLS + code[k : len(code) - ORDER + 1 + k]
-    starts = np.concatenate([[0], np.cumsum(sizes + ORDER - 1)[:-1]])
-    keep = np.ones(len(code), bool)
-    for k in range(ORDER - 1):
-        keep[starts + k] = False  # windows that end within a lead-in
-    return g[keep[ORDER - 1 :]], np.concatenate([[0], np.cumsum(sizes)[:-1]])
-
-
-def alphabet(trusted: DataFrame) -> list[int]:
-    """The SYMBOLS - FIRST most frequent code points of trusted text that are neither capitals nor digits."""
+class Grams:
+    """The n-grams that end at each character of some texts, every text led in by ORDER - 1 blanks.
+
+    They are numbered by the symbols that occur, so that few symbols make numbers small enough to address an array;
+    numbers are in the order of the n-grams."""
+
+    def __init__(self, texts: list[str]) -> None:
+        lead = " " * (ORDER - 1)
+        code = symbols()[np.frombuffer("".join(lead + t for t in texts).encode("utf-32-le", "surrogatepass"), "<u4")]
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.some = np.flatnonzero(np.bincount(code, minlength=1 << BITS))
+        self.own = np.full(1 << BITS, -1, np.int64)
+        self.own[self.some] = np.arange(len(self.some))
+        base, ids = len(self.some), self.own[code]
+        self.span = base**ORDER
+        g = np.zeros(max(0, len(ids) - ORDER + 1), np.int64)
+        for k in range(ORDER):
+            g = g * base + ids[k : len(ids) - ORDER + 1 + k]
+        starts = np.concatenate([[0], np.cumsum(self.sizes + ORDER - 1)[:-1]]).astype(np.int64)
+        keep = np.ones(len(code), bool)
+        for k in range(ORDER - 1):
+            keep[starts + k] = False  # windows that end within a lead-in
+        self.at = g[keep[ORDER - 1 :]]
+
+    def packed(self, numbers: np.ndarray) -> np.ndarray:
+        """The n-grams of these numbers, BITS bits a symbol."""
+        out = np.zeros(len(numbers), np.uint64)
+        for k in range(ORDER):
+            out |= self.some[numbers // len(self.some) ** k % len(self.some)].astype(np.uint64) << np.uint64(BITS * k)
+        return out.view(np.int64)
+
+    def different(self) -> np.ndarray:
+        if self.span > DENSE:
+            return self.packed(np.unique(self.at))
+        seen = np.zeros(self.span, bool)
+        seen[self.at] = True
+        return self.packed(np.flatnonzero(seen))
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        at, n = np.unique(self.at, return_counts=True)
+        return self.packed(at), n
+
+    def summed(self, grams: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """For each text the sum of what its n-grams cost."""
+        number, known = np.zeros(len(grams), np.int64), np.ones(len(grams), bool)
+        for k in reversed(range(ORDER)):
+            own = self.own[(grams.view(np.uint64) >> np.uint64(BITS * k)).astype(np.int64) & (1 << BITS) - 1]
+            number, known = number * len(self.some) + own, known & (own >= 0)
+        number, bits = number[known], bits[known]
+        if self.span <= DENSE:
+            table_ = np.zeros(self.span)
+            table_[number] = bits
+            each = table_[self.at]
+        else:
+            order = np.argsort(number)
+            each = bits[order][np.searchsorted(number[order], self.at)]
+        out, some = np.zeros(len(self.sizes)), np.flatnonzero(self.sizes)
+        if len(some):
+            out[some] = np.add.reduceat(each, np.concatenate([[0], np.cumsum(self.sizes)[:-1]])[some])
+        return out
+
+
+def count_grams(trusted: DataFrame) -> DataFrame:
+    """(g, c) of every n-gram of ORDER symbols in trusted text, over all of it."""
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
         for batch in batches:
-            for group in _chunks(batch.column("text").to_pylist()):
-                points = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), "<u4")
-                n = np.bincount(points)
-                total[: len(n)] += n
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["c", "n"])
-
-    counts = trusted.select("text").mapInArrow(scan, "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "c").limit(4 * SYMBOLS).collect()  # a few hundred rows
-    plain = [r["c"] for r in top if not (chr(r["c"]).isupper() or chr(r["c"]).isdigit())]
-    return plain[: SYMBOLS - FIRST]
-
-
-def look_up(chars: list[int]) -> np.ndarray:
-    lut = np.full(0x110000, OTHER, np.uint8)
-    for c in range(0x3000):
-        if chr(c).isupper():
-            lut[c] = CAPITAL
-        elif chr(c).isdigit():
-            lut[c] = DIGIT
-    for k, c in enumerate(chars):
-        lut[c] = FIRST + k
-    return lut
+            for group in chunks(batch.column("text").to_pylist()):
+                g, n = Grams(group).counted()
+                yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["g", "c"])
 
+    return trusted.select("text").mapInArrow(scan, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
-def count_grams(trusted: DataFrame, chars: list[int]) -> DataFrame:
-    """(g, c) of every n-gram of ORDER symbols in trusted text, over all of it."""
-
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lut, total, some = look_up(chars), np.zeros(SYMBOLS**ORDER, np.int64), False
-        for batch in batches:
-            for group in _chunks(batch.column("text").to_pylist()):
-                g, _ = grams(*codes(group, lut))
-                if len(g):
-                    n = np.bincount(g)
-                    total[: len(n)] += n
-                    some = True
-        if some:
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["g", "c"])
 
-    return trusted.select("text").mapInArrow(scan, "g int, c long").groupBy("g").agg(F.sum("c").alias("c"))
+def suffix(g: str | Column, k: int) -> Column:
+    """The last k symbols."""
+    g = F.col(g) if isinstance(g, str) else g
+    return g if k >= ORDER else g.bitwiseAND(F.lit((1 << BITS * k) - 1))
 
 
-def smoothed(counts: DataFrame) -> dict[int, DataFrame]:
-    """For each order k: (g, p, w) with the discounted share p of every seen k-gram and the weight w its context
+def smoothed(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """For each order k: (g, p) with the discounted share p of every seen k-gram, and (ctx, w) with the weight that a context
     passes to the lower order. The lower orders count in how many contexts an n-gram continues."""
     out, level = {}, counts
     for k in range(ORDER, 0, -1):
@@ -129,71 +153,94 @@ def smoothed(counts: DataFrame) -> dict[int, DataFrame]:
         y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
         d = [max(0.0, min(i, i - (i + 1) * y * b / a)) if a else 0.5 for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
         cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-        context = F.expr(f"g div {SYMBOLS}").cast("int")
-        rows = level.select("g", "c", cut.alias("d"), context.alias("ctx"))
-        sums = rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("spare"))
-        out[k] = rows.join(sums, "ctx").select("g", ((F.col("c") - F.col("d")) / F.col("total")).alias("p"), "ctx", (F.col("spare") / F.col("total")).alias("w"))
+        rows = level.select("g", "c", cut.alias("d"), F.shiftrightunsigned("g", BITS).alias("ctx"))
+        sums = materialise(rows.groupBy("ctx").agg(F.sum("c").alias("total"), F.sum("d").alias("spare")), f"kn-context-{k}")
+        out[k] = rows.join(sums, "ctx").select("g", ((F.col("c") - F.col("d")) / F.col("total")).alias("p")), sums.select("ctx", (F.col("spare") / F.col("total")).alias("w"))
         if k > 1:
-            level = level.select((F.col("g") % SYMBOLS ** (k - 1)).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
+            level = level.select(suffix("g", k - 1).alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("c"))
     return out
 
 
-@dataclass
 class Model:
-    """Bits of every n-gram: SYMBOLS ** ORDER numbers of four bytes, 21 MB at the built-in parameters."""
-
-    chars: list[int]
-    bits: np.ndarray
-
-
-def train(trusted: DataFrame) -> Model:
-    """Fit on all trusted text. Without any, every n-gram is equally likely."""
-    chars = alphabet(trusted)
-    tables = smoothed(count_grams(trusted, chars))
-    p = np.full(1, 1.0 / SYMBOLS)  # order 0: uniform
-    for k in range(1, ORDER + 1):
-        t = tables[k].toArrow()  # SYMBOLS ** k rows at most
-        g, ctx = t["g"].to_numpy(), t["ctx"].to_numpy()
-        w = np.ones(SYMBOLS ** (k - 1))
-        w[ctx] = t["w"].to_numpy()
-        lower = np.tile(p.reshape(-1, SYMBOLS) if k > 1 else np.full((1, SYMBOLS), p[0]), (SYMBOLS if k > 1 else 1, 1)).reshape(-1)
-        p = lower * np.repeat(w, SYMBOLS)
-        p[g] += t["p"].to_numpy()
-    return Model(chars, -np.log2(np.maximum(p, 1e-12)).astype(np.float32))
-
+    """The tables of ``smoothed`` and the number of symbols; it stays distributed."""
+
+    def __init__(self, trusted: DataFrame) -> None:
+        """Fit on all trusted text. Without any, every n-gram is equally likely."""
+        self.tables = smoothed(count_grams(trusted))
+        self.size = self.tables[1][0].count() + 1  # and one for every symbol not seen
+
+    def cost(self, grams: DataFrame) -> DataFrame:
+        """(g, bits) of different n-grams (a column g): joins with the tables of each order from the lowest up."""
+        p = None
+        for k in range(1, ORDER + 1):
+            seen, weights = self.tables[k]
+            need = grams.select(suffix("g", k).alias("g")).distinct().withColumn("ctx", F.shiftrightunsigned("g", BITS))
+            need = need.join(seen, "g", "left").join(weights, "ctx", "left")
+            if p is None:
+                lower = F.lit(1.0 / self.size)
+            else:
+                need, lower = need.join(p.withColumnRenamed("g", "low").withColumnRenamed("p", "below"), suffix("g", k - 1) == F.col("low")), F.col("below")
+            p = materialise(need.select("g", (F.coalesce(F.col("p"), F.lit(0.0)) + F.coalesce("w", F.lit(1.0)) * lower).alias("p")), f"quality-p{k}")
+        return p.select("g", (-F.log2(F.greatest("p", F.lit(1e-12)))).alias("bits"))
+
+
+def costs(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row (not the text), chars, and bits: what the whole text costs for each character (null where
+    there is none). Texts travel once, compressed, to the chunk that they are dealt to by hash."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = int(size // CHUNK + 1)
+    fields = {f.name: f for f in docs.select(*keep).schema.fields}
+    schema = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in fields.items())
+    dealt = docs.select(*keep, "text", F.pmod(F.xxhash64(*row_key(docs)[1:]), F.lit(n)).cast("int").alias("chunk"))
+
+    def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "chunk")), pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()], pa.binary())], [*keep, "chunk", "packed"])
 
-def with_bits(docs: DataFrame, model: Model, name: str = "__tg_bits") -> DataFrame:
-    """``docs`` and the mean bits per character of each whole text (null where there is none to score)."""
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    def texts(packed: pa.ChunkedArray | pa.Array) -> list[str]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        return [unpack(x).decode("utf-8", "surrogatepass") for x in packed.to_pylist()]
 
-    shared = docs.sparkSession.sparkContext.broadcast((model.chars, model.bits))
+    def every(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.empty(0, np.int64)
+        for batch in batches:
+            for group in chunks(batch.column("text").to_pylist()):
+                found = np.union1d(found, Grams(group).different())
+        yield pa.RecordBatch.from_arrays([pa.array(found)], ["g"])
 
-    def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chars, bits = shared.value
-        lut = look_up(chars)
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, np.ndarray] = {}
         for batch in batches:
-            done = 0
-            for group in _chunks(batch.column("text").to_pylist()):
-                g, starts = grams(*codes(group, lut))
-                sizes = np.fromiter(map(len, group), np.int64, len(group))
-                some = np.flatnonzero(sizes)
-                mean = np.full(len(group), np.nan)
-                if len(some):
-                    mean[some] = np.add.reduceat(bits[g].astype(np.float64), starts[some]) / sizes[some]
-                part = batch.slice(done, len(group))
-                done += len(group)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(mean, mask=np.isnan(mean))], [*batch.schema.names, name])
-
-    return docs.mapInArrow(scan, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
-
-
-def trusted_text(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text and lang of documents labelled as good. Repeated labels of one document count once."""
-    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("__tg_id")).distinct()
-    narrow = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    good = materialise(good, "trusted-ids")
-    side = F.broadcast(good) if good.count() <= BROADCAST_IDS else good.hint("shuffle_hash")
-    return narrow.join(side, F.col("doc_id") == F.col("__tg_id"), "left_semi").select("text", "lang")
+            chunk = batch.column("chunk").to_numpy()
+            for c in np.unique(chunk):
+                for group in chunks(texts(batch.column("packed").filter(pa.array(chunk == c)))):
+                    new = Grams(group).different()
+                    asked[int(c)] = np.union1d(asked[int(c)], new) if int(c) in asked else new
+        for c, g in asked.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), c, np.int32)), pa.array(g)], ["chunk", "g"])
+
+    def add(rows: pa.Table, told: pa.Table) -> pa.Table:
+        grams, bits = told["g"].to_numpy(), told["bits"].to_numpy()
+        sums, sizes = [], []
+        for group in chunks(texts(rows["packed"])):
+            g = Grams(group)
+            sums.append(g.summed(grams, bits))
+            sizes.append(g.sizes)
+        total, chars = np.concatenate(sums), np.concatenate(sizes)
+        mean = np.divide(total, chars, out=np.zeros(len(total)), where=chars > 0)
+        return rows.select(keep).append_column("chars", pa.array(chars)).append_column("bits", pa.array(mean, mask=chars == 0))
+
+    bits = model.cost(materialise(docs.select("text").mapInArrow(every, "g long").distinct(), "quality-grams"))
+    # One exchange serves both what the chunks ask and what they are told.
+    squeezed = dealt.mapInArrow(squeeze, f"{schema}, chunk int, packed binary").repartition(n, "chunk")
+    told = squeezed.mapInArrow(ask, "chunk int, g long").join(bits, "g")
+    return squeezed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(add, f"{schema}, chars long, bits double")
+
+
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids labelled as good. Repeated labels of one document count once."""
+    return materialise(labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("__tg_good")).where("__tg_good IS NOT NULL").distinct(), "trusted-ids")
 
 
 def _counted(rows: DataFrame, value: Column) -> dict[str | None, dict[int, int]]:
@@ -230,36 +277,32 @@ def _by_language(values: dict[str | None, float], rest: float) -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with __tg_bits, __tg_score, __tg_limit and __tg_keep.
+    """KEY, doc_id, lang, bits (per character), score, limit and keep of every row of ``docs``.
 
     The score is the bits per character, drawn towards the median of the language by as much as the text is short.
     A null or empty text has no perplexity and is rejected. A language (or null) with fewer than LEAST trusted
     documents is held to the median and threshold of all trusted text. Without trusted text nothing but empty texts
-    is rejected. Rows are judged one by one, so repeated rows and ids get equal verdicts; other columns stay.
+    is rejected. Rows are judged one by one, so repeated rows and ids get equal verdicts; an empty table gives an empty result.
     """
-    trusted = materialise(trusted_text(docs, labels), "trusted")
-    model = train(trusted)
-    seen = with_bits(trusted, model).where("__tg_bits is not null").select("lang", "__tg_bits", F.length("text").alias("n"))
-    seen = materialise(seen, "trusted-bits")
-    middle = _by_language(*_quantiles(_counted(seen, F.col("__tg_bits")), 0.5))
-
-    def drawn(n: Column) -> Column:
-        bits = F.col("__tg_bits")
-        return F.when(middle == float("inf"), bits).otherwise(middle + (bits - middle) * n / (n + SHRINK))
-
-    limits, rest = _quantiles(_counted(seen.withColumn("s", drawn(F.col("n"))), F.col("s")), QUANTILE)
+    good = trusted_ids(labels)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].cast("string").alias("text"), *row_key(docs))
+    trusted = rows.where("text IS NOT NULL").join(small(good), F.col("doc_id") == F.col("__tg_good"), "left_semi")
+    scored = materialise(costs(rows, Model(trusted), ["doc_id", "lang", *KEY]), "quality-bits")
+    seen = scored.where("bits IS NOT NULL").join(small(good), F.col("doc_id") == F.col("__tg_good"), "left_semi")
+    middle = _by_language(*_quantiles(_counted(seen, F.col("bits")), 0.5))
+    drawn = F.when(middle == float("inf"), F.col("bits")).otherwise(middle + (F.col("bits") - middle) * F.col("chars") / (F.col("chars") + SHRINK))
+    limits, rest = _quantiles(_counted(seen, drawn), QUANTILE)
     limit = _by_language({k: x + MARGIN for k, x in limits.items()}, rest + MARGIN)
-    scored = with_bits(docs, model).withColumn("__tg_score", drawn(F.length("text"))).withColumn("__tg_limit", limit)
-    return scored.withColumn("__tg_keep", F.coalesce(F.col("__tg_score") <= F.col("__tg_limit"), F.lit(False)))
+    scored = scored.withColumn("score", drawn).withColumn("limit", limit)
+    return scored.withColumn("keep", F.coalesce(F.col("score") <= F.col("limit"), F.lit(False)))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document: doc_id, lang, bits (per character), perplexity, score, limit (bits), keep."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = judged(docs, table(spark, sf_dir, "labels"))
-    return out.select("doc_id", "lang", F.col("__tg_bits").alias("bits"), F.pow(F.lit(2.0), "__tg_bits").alias("perplexity"), F.col("__tg_score").alias("score"), F.col("__tg_limit").alias("limit"), F.col("__tg_keep").alias("keep"))
+    out = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "lang", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), "score", "limit", "keep")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rejected ones; columns as they came."""
-    return judged(docs, labels).where("__tg_keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the rejected rows, see ``judged``; columns as they came."""
+    return without(docs, materialise(judged(docs, labels).where("NOT keep").select(*KEY).distinct(), "quality-gone"))
