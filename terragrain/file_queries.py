@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import cli, queries
 from .functions import crs, dtypes, point
+from .functions.process import worker_memory
 from .operators.bins import PixelGrid, bin_mean, first_points, sort_points
 from .operators.stencil import node_of
 from .plans import views
@@ -345,6 +346,13 @@ def _tables() -> None:
 
     register("phases", phases, "SELECT * FROM (VALUES ('extent', true), ('plan', true), ('process', true), ('write', true), ('total', true)) t(phase, within)")
 
+    def memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """One task for each region: whether its worker says how much memory it uses."""
+        n = spark.read.parquet(f"{sf_dir}/region.parquet").count()
+        return worker_memory(spark, n).select("task", (F.col("resident").between(1, F.col("virtual"))).alias("known"))
+
+    register("process_memory", memory, "SELECT r_regionkey AS task, true AS known FROM region")
+
     def command(spark: SparkSession, sf_dir: str) -> DataFrame:
         """LAS files to a GeoTIFF by the command line, the pixels read back."""
         files, out = las_files(spark, sf_dir), f"{workspace(spark)}/dem"

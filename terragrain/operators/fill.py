@@ -47,27 +47,29 @@ def row_fill(nodes: DataFrame, spec: GridSpec, outside: DataFrame | None = None)
     populated nodes on either side, the ends repeat the nearest one. Nodes that a window has filled count as empty
     and are filled anew. ``outside`` lists nodes (i, j) to leave alone. Rows without a populated node stay.
 
-    Gaps are generated from the populated nodes, so no dense grid is built for it.
+    Gaps are generated from the populated nodes, so no dense grid is built for it: each node yields itself and the gap behind
+    it, the first of a row also the one before it, all in one explode after one window over the rows.
     """
     vals = _values(nodes)
+    den = ["den"] if "den" in nodes.columns else []
     filled = nodes.where(F.col("filled")) if "filled" in nodes.columns else None
-    real = (nodes.where(~F.col("filled")) if filled is not None else nodes).drop("filled")
+    real = nodes.where(~F.col("filled")) if filled is not None else nodes
     row = Window.partitionBy("j").orderBy("i")
-    here = F.struct("i", *vals)
-    ends = real.select("j", F.lag(here).over(row).alias("p"), here.alias("c"), F.lead(here).over(row).alias("n"))
-    # Left of the first node, between a node and the next, right of the last: each gap belongs to one node.
-    before = ends.where("p IS NULL AND c.i > 0").select("j", F.explode(F.expr("sequence(0, c.i - 1)")).alias("i"), F.col("c").alias("a"), F.col("c").alias("b"))
-    after = ends.select("j", "c", F.coalesce("n", "c").alias("b"), F.coalesce(F.col("n.i"), F.lit(spec.gx)).alias("stop")).where("stop > c.i + 1")
-    after = after.select("j", F.explode(F.expr("sequence(c.i + 1, stop - 1)")).alias("i"), F.col("c").alias("a"), "b")
-    share = F.when(F.col("b.i") > F.col("a.i"), (F.col("i") - F.col("a.i")) / (F.col("b.i") - F.col("a.i"))).otherwise(F.lit(0.0))
-    fresh = before.union(after).select("i", "j", *[(F.col(f"a.{v}") + (F.col(f"b.{v}") - F.col(f"a.{v}")) * share).alias(v) for v in vals])
-    if outside is not None:
-        fresh = fresh.join(outside.select("i", "j"), ["i", "j"], "left_anti")
-    den = [F.lit(0).cast("long").alias("den")] if "den" in nodes.columns else []
+    here = F.struct("i", *vals, *den)
+    ends = real.select("j", F.lag("i").over(row).alias("p"), here.alias("a"), F.lead(here).over(row).alias("n"))
+    ends = ends.select("j", "a", F.coalesce("n", "a").alias("b"), F.explode(F.sequence(F.when(F.col("p").isNull(), 0).otherwise(F.col("a.i")), F.coalesce("n.i", F.lit(spec.gx)) - 1)).alias("i"))
+    own, behind = F.col("i") == F.col("a.i"), (F.col("i") > F.col("a.i")) & (F.col("b.i") > F.col("a.i"))
+    share = F.when(behind, (F.col("i") - F.col("a.i")) / (F.col("b.i") - F.col("a.i"))).otherwise(F.lit(0.0))
+    between = lambda v: F.when(own, F.col(f"a.{v}")).otherwise(F.col(f"a.{v}") + (F.col(f"b.{v}") - F.col(f"a.{v}")) * share)
     cols = ["i", "j", *[c for c in MEASURES.values() if c in nodes.columns]]
-    out = real.select(*cols, F.lit(False).alias("filled")).unionByName(fresh.select("*", *den, F.lit(True).alias("filled")))
-    if filled is not None:
-        out = out.unionByName(filled.join(fresh.select("i", "j"), ["i", "j"], "left_anti").select(*cols, "filled"))
+    out = ends.select("i", "j", *[between(v).alias(v) for v in vals], *[F.when(own, F.col("a.den")).otherwise(0).alias(c) for c in den], (~own).alias("filled")).select(*cols, "filled")
+    if outside is not None:
+        out = out.join(outside.select("i", "j", F.lit(True).alias("__out")), ["i", "j"], "left").where(~F.col("filled") | F.col("__out").isNull()).drop("__out")
+    if filled is not None:  # what a window has filled stays where no row filling reaches
+        rest = [c for c in [*cols, "filled"] if c not in ("i", "j")]
+        both = out.withColumn("__k", F.lit(0)).unionByName(filled.select(*cols, "filled").withColumn("__k", F.lit(1)))
+        best = both.groupBy("i", "j").agg(F.min_by(F.struct(*rest), "__k").alias("x"))
+        out = best.select("i", "j", *[F.col(f"x.{c}").alias(c) for c in rest])
     return out
 
 

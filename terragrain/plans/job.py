@@ -94,7 +94,7 @@ def grid(points: DataFrame, spec: GridSpec, o: Options) -> DataFrame:
         nodes = window_fill(nodes, spec, o.window)
     if o.fill_empty:
         mask = outside_nodes(points.sparkSession, spec, o.shape) if o.shape else None
-        nodes = (row_fill_strict if o.strict_fill else row_fill)(nodes, spec, mask)
+        nodes = (row_fill_strict if o.strict_fill else row_fill)(nodes if o.window else nodes.drop("filled"), spec, mask)
     return nodes
 
 
