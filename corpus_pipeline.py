@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from terragrain.llm import decontaminate, mixing, quality, sharding, simhash
-from terragrain.llm._shared import materialise, table
+from terragrain.llm._shared import discard, materialise, scratch, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,7 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages one after the other; what a stage has written on the way goes when its result is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch():
+            docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
