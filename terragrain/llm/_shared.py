@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +40,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+#: Tables made within each open ``scratch``.
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables of ``materialise`` made within are deleted at the end, but for those made with ``keep``."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        discard(*_made.pop())
+
+
+def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends at replicated files,
     so a lost executor costs a re-read and never a recomputation of what came before."""
     spark = df.sparkSession
@@ -43,6 +62,8 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tg_path = path
+    if _made and not keep:
+        _made[-1].append(out)
     return out
 
 
@@ -73,6 +94,29 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(g, same[0] & same[1] & same[2], "left_anti")
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between stages, and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every system has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(scan: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``scan`` for mapInArrow, with its memory given back now and then between batches and at the end."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = time.monotonic()
+        for batch in scan(batches):
+            yield batch
+            del batch
+            if time.monotonic() - last > 0.5:
+                give_back()
+                last = time.monotonic()
+        give_back()
+
+    return run
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure ASCII takes Spark's byte-wise lower()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
