@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import crc_mod, materialise, table
+from ._shared import crc_mod, lean, materialise, small, table
 
 ORDERS, FEATURES = (1, 2, 3), 1 << 16
 #: Documented bound of the training sample: this many rows, shared evenly by the languages, and as many of each at least. Whole
@@ -162,7 +162,7 @@ def training_rows(docs: DataFrame) -> DataFrame:
     counts = materialise(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "langid-counts")
     most = max(LEAST_ROWS, SAMPLE_ROWS // max(1, counts.count()))
     share = F.least(F.lit(1.0), (1.5 * most + 100) / F.col("n"))
-    some = rows.join(F.broadcast(counts), "lang").where((share >= 1) | (F.col("h") <= F.least(share * 2.0**64 - 2.0**63, F.lit(9.2e18)).cast("long")))  # one row a language
+    some = rows.join(small(counts), "lang").where((share >= 1) | (F.col("h") <= F.least(share * 2.0**64 - 2.0**63, F.lit(9.2e18)).cast("long")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     return some.withColumn("k", rank).where(F.col("k") <= most).select(F.xxhash64(F.lit(6), "h").alias("h"), "lang", "text")  # in an order that mixes the languages
 
@@ -182,7 +182,7 @@ def frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], ["cell", "n"])
 
-    rows = labelled(docs).select("text").mapInArrow(scan, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # FEATURES + 1 rows at most
+    rows = labelled(docs).select("text").mapInArrow(lean(scan), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # FEATURES + 1 rows at most
     cell, n = rows["cell"].to_numpy(), rows["n"].to_numpy()
     df = np.zeros(FEATURES)
     df[cell[cell >= 0]] = n[cell >= 0]
@@ -196,7 +196,7 @@ def train(docs: DataFrame) -> Model:
                 at, share = counted(text, fold())
                 yield pa.RecordBatch.from_arrays([pa.array([h]), pa.array([lang]), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([share.astype("<f4").tobytes()], pa.binary())], ["h", "lang", "cells", "shares"])
 
-    rows = training_rows(docs).mapInArrow(scan, "h long, lang string, cells binary, shares binary").collect()  # bounded, see SAMPLE_ROWS
+    rows = training_rows(docs).mapInArrow(lean(scan), "h long, lang string, cells binary, shares binary").collect()  # bounded, see SAMPLE_ROWS
     rows.sort(key=lambda r: (r["h"], r["lang"]))
     return fit([(np.frombuffer(r["cells"], "<u2").astype(np.int64), np.frombuffer(r["shares"], "<f4").astype(float)) for r in rows], [r["lang"] for r in rows], *frequencies(docs))
 
@@ -232,7 +232,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
-    return rows.mapInArrow(scan, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(scan), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import KEY, materialise, row_key, small, table, without
+from ._shared import KEY, give_back, lean, materialise, row_key, small, table, without
 
 ORDER, BITS = 4, 16
 #: Symbols of any capital and of any digit; a character that would take one of them takes the next.
@@ -33,7 +33,7 @@ BIN = 0.001
 #: Trusted documents that a language needs for a threshold of its own; others take that of all languages.
 LEAST = 50
 #: Bytes of text in a chunk, about; characters that a worker holds at once; values of an array that is addressed by n-gram.
-CHUNK, AT_ONCE, DENSE = 16_000_000, 4_000_000, 1 << 25
+CHUNK, AT_ONCE, DENSE = 8_000_000, 1_000_000, 1 << 24
 
 
 @lru_cache(maxsize=1)
@@ -112,7 +112,7 @@ class Grams:
             number, known = number * len(self.some) + own, known & (own >= 0)
         number, bits = number[known], bits[known]
         if self.span <= DENSE:
-            table_ = np.zeros(self.span)
+            table_ = np.zeros(self.span, np.float32)
             table_[number] = bits
             each = table_[self.at]
         else:
@@ -120,7 +120,7 @@ class Grams:
             each = bits[order][np.searchsorted(number[order], self.at)]
         out, some = np.zeros(len(self.sizes)), np.flatnonzero(self.sizes)
         if len(some):
-            out[some] = np.add.reduceat(each, np.concatenate([[0], np.cumsum(self.sizes)[:-1]])[some])
+            out[some] = np.add.reduceat(each, np.concatenate([[0], np.cumsum(self.sizes)[:-1]])[some], dtype=np.float64)
         return out
 
 
@@ -133,7 +133,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
                 g, n = Grams(group).counted()
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["g", "c"])
 
-    return trusted.select("text").mapInArrow(scan, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return trusted.select("text").mapInArrow(lean(scan), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def suffix(g: str | Column, k: int) -> Column:
@@ -228,13 +228,14 @@ def costs(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
             sums.append(g.summed(grams, bits))
             sizes.append(g.sizes)
         total, chars = np.concatenate(sums), np.concatenate(sizes)
+        give_back()
         mean = np.divide(total, chars, out=np.zeros(len(total)), where=chars > 0)
         return rows.select(keep).append_column("chars", pa.array(chars)).append_column("bits", pa.array(mean, mask=chars == 0))
 
-    bits = model.cost(materialise(docs.select("text").mapInArrow(every, "g long").distinct(), "quality-grams"))
+    bits = model.cost(materialise(docs.select("text").mapInArrow(lean(every), "g long").distinct(), "quality-grams"))
     # One exchange serves both what the chunks ask and what they are told.
-    squeezed = dealt.mapInArrow(squeeze, f"{schema}, chunk int, packed binary").repartition(n, "chunk")
-    told = squeezed.mapInArrow(ask, "chunk int, g long").join(bits, "g")
+    squeezed = dealt.mapInArrow(lean(squeeze), f"{schema}, chunk int, packed binary").repartition(n, "chunk")
+    told = squeezed.mapInArrow(lean(ask), "chunk int, g long").join(bits, "g")
     return squeezed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(add, f"{schema}, chars long, bits double")
 
 

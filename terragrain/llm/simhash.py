@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import KEY, discard, materialise, row_key, small, table, without
+from ._shared import KEY, discard, lean, materialise, row_key, small, table, without
 from .components import components
 
 SEED = 42
@@ -27,7 +27,7 @@ BUCKET = 32
 #: Width of a cell of pivot distances, and pivots that deal a crowded block into cells at most.
 CELL, DEEP = 8, 6
 #: Shingles counted at once by a Python worker.
-AT_ONCE = 1_000_000
+AT_ONCE = 500_000
 ONES = np.uint64(0x0101010101010101)
 
 
@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, k: int, longs: int = 1) -> DataFrame:
 
     names = ["doc_id"] + [f"f{j}" for j in range(longs)]
     schema = ", ".join(f"{c} long" for c in names)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(scan), schema)
 
 
 def pivots(longs: int, n: int = PIVOTS) -> list[list[int]]:
@@ -255,7 +255,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 done += len(group)
 
     schema = "__tg_none boolean, __tg_id long, __tg_text long, n long, shingles long, " + ", ".join(f"f{j} long" for j in range(LONGS)) + ", keys array<long>"
-    return docs.select(*row_key(docs), docs["text"].cast("string").alias("text")).mapInArrow(scan, schema)
+    return docs.select(*row_key(docs), docs["text"].cast("string").alias("text")).mapInArrow(lean(scan), schema)
 
 
 def whole_units(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -319,7 +319,7 @@ def hubs(rows: DataFrame, most: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(node[at]), pa.array(np.r_[node[hub[x]], node[chain]], mask=np.arange(len(at)) >= len(x))], ["bucket", "a", "b"])
 
     units = in_parts(rows, BLOCK).select(F.xxhash64("bucket", "own").alias("unit"), "bucket", "node", "parts", *f)
-    return units.repartition("unit").sortWithinPartitions("unit", "bucket", "node").mapInArrow(elect, "bucket long, a long, b long")
+    return units.repartition("unit").sortWithinPartitions("unit", "bucket", "node").mapInArrow(lean(elect), "bucket long, a long, b long")
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
@@ -336,7 +336,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(done, len(group)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(group).view("<i8")))], ["node", "set"])
                 done += len(group)
 
-    return texts.mapInArrow(scan, "node long, set array<long>")
+    return texts.mapInArrow(lean(scan), "node long, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -352,7 +352,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(check), "a long, b long")
 
 
 def unsettled(rows: DataFrame, sets: DataFrame, similarity: float, most: int) -> DataFrame:
@@ -395,7 +395,7 @@ def unsettled(rows: DataFrame, sets: DataFrame, similarity: float, most: int) ->
     two = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: (o != F.col("own")) | (F.col("parts") == 1)), lambda o: F.struct(F.least("own", o).alias("lo"), F.greatest("own", o).alias("hi")))
     units = in_parts(rows, ACROSS).select("bucket", "node", "root", *f, F.explode(two).alias("u")).select(F.xxhash64("bucket", "u.lo", "u.hi").alias("unit"), "node", "root", *f)
     units = units.join(sets, "node").select("unit", "node", "root", *f, "set")
-    return units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(compare, "a long, b long").distinct()
+    return units.repartition("unit").sortWithinPartitions("unit", "node").mapInArrow(lean(compare), "a long, b long").distinct()
 
 
 def near_rows(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY) -> DataFrame:
