@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from terragrain.llm import decontaminate, exact_dedup, langid, licenses, mixing, quality, secrets, sharding, simhash, toxicity
@@ -29,13 +31,34 @@ def test_exact(edge_docs, no_docs, edge_rows):
     assert exact_dedup.exact_groups(no_docs).count() == 0
 
 
+def counts_of(hashes):
+    def counts(depth, above, prefixes):
+        out = {}
+        for h in hashes:
+            if prefixes is None or h >> (64 - above) in prefixes:
+                out[h >> (64 - depth)] = out.get(h >> (64 - depth), 0) + 1
+        return out
+
+    return counts
+
+
 def test_directory():
-    d = exact_dedup.Directory.build({0: 500, 1: 1, 4095: 10}, 100)
-    assert len(d.slots) == 2**d.depth and d.depth == exact_dedup.MAX_DEPTH
-    assert d.slots[0] != d.slots[1] and len(set(d.slots)) == len(d.local)
-    assert exact_dedup.Directory.build({}, 10).depth == 0
-    for b, local in d.local.items():
-        assert d.slots.count(b) == 2 ** (d.depth - local)
+    rng = random.Random(1)
+    close = [(5 << 59) + k for k in range(300)]  # alike in all but their last bits
+    hashes = sorted({rng.getrandbits(64) for _ in range(2000)} | set(close))
+    d = exact_dedup.Directory.build(counts_of(hashes), 100, 4)
+    ends = [p << (64 - k) for p, k in d.buckets]
+    assert ends == sorted(ends) and d.depth > 50 and sum(2.0**-k for _, k in d.buckets) == 1
+    for p, k in d.buckets:
+        assert sum(h >> (64 - k) == p for h in hashes) <= 100
+    assert exact_dedup.Directory.build(counts_of([7] * 50), 10, 3).depth == 64
+    assert exact_dedup.Directory.build(counts_of([]), 10, 1).buckets == [(0, 0)]
+
+
+def test_small_buckets(spark, edge_docs):
+    docs = spark.createDataFrame([(i, f"Text {i % 300}") for i in range(900)], "doc_id long, text string")
+    got = exact_dedup.exact_groups(docs, bucket_rows=4).collect()
+    assert len(got) == 900 and all(r.group_size == 3 and r.keep_id == r.doc_id % 300 + 600 and r.kept == (r.doc_id >= 600) for r in got)
 
 
 def test_sharding(edge_docs, no_docs, edge_rows):
@@ -65,8 +88,8 @@ def test_simhash(edge_docs, no_docs, edge_rows):
     assert empty == {1}
     assert len({r.component_id for r in got if r.doc_id in (10, 11)}) == 1
     out = simhash.without_near_copies(edge_docs)
-    ids = sorted((r.doc_id for r in out.collect() if r.doc_id is not None))
-    assert out.columns == edge_docs.columns and ids == [1, 4, 6, 7, 8, 9, 10]
+    ids = sorted((-1 if r.doc_id is None else r.doc_id) for r in out.collect())
+    assert out.columns == edge_docs.columns and ids == [-1, 1, 4, 6, 7, 8, 9, 10]
     assert simhash.linked_components(no_docs).count() == 0 and simhash.without_near_copies(no_docs).count() == 0
 
 
@@ -83,7 +106,7 @@ def test_decontamination(spark, edge_docs, no_docs):
 def test_quality(edge_docs, no_docs, edge_labels, no_labels):
     got = quality.judged(edge_docs, edge_labels).collect()
     assert len(got) == edge_docs.count()
-    assert not any(r["__tg_keep"] for r in got if not r.text)
+    assert not any(r.keep for r in got if r.bits is None) and sum(r.bits is None for r in got) == 3
     out = quality.good_documents(edge_docs, no_labels)
     assert out.columns == edge_docs.columns and {r.doc_id for r in out.collect()} >= {3, 4, 5, 6, None}
     assert quality.good_documents(no_docs, edge_labels).count() == 0
@@ -125,3 +148,18 @@ def test_toxicity(edge_docs, no_docs, edge_labels, no_labels):
 def test_fold_reads_ids_as_text(edge_docs):
     rows = edge_docs.select("doc_id", langid.crc_mod(F.col("doc_id"), 5).alias("m")).collect()
     assert all(r.m == zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 5 for r in rows)
+
+
+def test_ties(edge_docs, edge_rows):
+    """Languages of equal score: the first in order. A score of one half counts as toxic."""
+    blank = langid.Model(["aa", "bb"], np.zeros((langid.FEATURES, 2), np.float32), np.zeros(2), 1.0)
+    got = langid.predict(edge_docs, blank).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("aa", 0.5), ("und", 0.0)}
+    even = toxicity.Model(toxicity.Automaton([]), np.zeros(0), frozenset(), frozenset(), np.zeros(toxicity.FEATURES), 0.0)
+    assert {(r.score, r.predicted) for r in toxicity.score(edge_docs, even).collect()} == {(0.5, 1)}
+
+
+def test_summary_of_licences(edge_docs, no_docs, edge_rows):
+    got = licenses.summary(edge_docs).collect()
+    assert len(got) == len(edge_rows) and {r.doc_id: r.n_notices for r in got if r.n_notices} == {9: 2}
+    assert licenses.summary(no_docs).count() == 0
