@@ -10,6 +10,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager, suppress
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,6 +118,12 @@ def lean(scan: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+def values(column: pa.Array | pa.ChunkedArray, rows: int = 500) -> Iterator[Any]:
+    """The values of a column one by one, of which only a slice is held as Python objects at a time."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()
+
+
 def lower_ascii(text: Column) -> Column:
     """Lower-case A-Z and nothing else. Pure ASCII takes Spark's byte-wise lower()."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import KEY, give_back, lean, materialise, row_key, small, table, without
+from ._shared import KEY, give_back, lean, materialise, row_key, small, table, values, without
 
 ORDER, BITS = 4, 16
 #: Symbols of any capital and of any digit; a character that would take one of them takes the next.
@@ -34,6 +34,8 @@ BIN = 0.001
 LEAST = 50
 #: Bytes of text in a chunk, about; characters that a worker holds at once; values of an array that is addressed by n-gram.
 CHUNK, AT_ONCE, DENSE = 8_000_000, 1_000_000, 1 << 24
+#: Partitions that chunks are dealt to at most; beyond that a partition holds several chunks.
+PARTS = 50_000
 
 
 @lru_cache(maxsize=1)
@@ -50,7 +52,7 @@ def symbols() -> np.ndarray:
     return out
 
 
-def chunks(texts: list) -> Iterator[list[str]]:
+def chunks(texts: Iterable) -> Iterator[list[str]]:
     group, n = [], 0
     for t in texts:
         group.append(t or "")
@@ -129,7 +131,7 @@ def count_grams(trusted: DataFrame) -> DataFrame:
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for group in chunks(batch.column("text").to_pylist()):
+            for group in chunks(values(batch.column("text"))):
                 g, n = Grams(group).counted()
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n)], ["g", "c"])
 
@@ -196,16 +198,16 @@ def costs(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def squeeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "chunk")), pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()], pa.binary())], [*keep, "chunk", "packed"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*keep, "chunk")), pa.array([pack((t or "").encode("utf-8", "surrogatepass")) for t in values(batch.column("text"))], pa.binary())], [*keep, "chunk", "packed"])
 
-    def texts(packed: pa.ChunkedArray | pa.Array) -> list[str]:
+    def texts(packed: pa.ChunkedArray | pa.Array) -> Iterator[str]:
         unpack = zstandard.ZstdDecompressor().decompress
-        return [unpack(x).decode("utf-8", "surrogatepass") for x in packed.to_pylist()]
+        return (unpack(x).decode("utf-8", "surrogatepass") for x in values(packed))
 
     def every(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.empty(0, np.int64)
         for batch in batches:
-            for group in chunks(batch.column("text").to_pylist()):
+            for group in chunks(values(batch.column("text"))):
                 found = np.union1d(found, Grams(group).different())
         yield pa.RecordBatch.from_arrays([pa.array(found)], ["g"])
 
@@ -234,7 +236,7 @@ def costs(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     bits = model.cost(materialise(docs.select("text").mapInArrow(lean(every), "g long").distinct(), "quality-grams"))
     # One exchange serves both what the chunks ask and what they are told.
-    squeezed = dealt.mapInArrow(lean(squeeze), f"{schema}, chunk int, packed binary").repartition(n, "chunk")
+    squeezed = dealt.mapInArrow(lean(squeeze), f"{schema}, chunk int, packed binary").repartition(min(n, PARTS), "chunk")
     told = squeezed.mapInArrow(lean(ask), "chunk int, g long").join(bits, "g")
     return squeezed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(add, f"{schema}, chars long, bits double")
 

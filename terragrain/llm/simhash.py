@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import KEY, discard, lean, materialise, row_key, small, table, without
+from ._shared import KEY, discard, lean, materialise, row_key, small, table, values, without
 from .components import components
 
 SEED = 42
@@ -77,7 +77,7 @@ def majority(hashes: list[np.ndarray], longs: int) -> np.ndarray:
     return out
 
 
-def groups_of(texts: list, k: int) -> Iterator[list[np.ndarray]]:
+def groups_of(texts: Iterable, k: int) -> Iterator[list[np.ndarray]]:
     group, n = [], 0
     for t in texts:
         group.append(shingle_hashes(t, k))
@@ -95,7 +95,7 @@ def fingerprints(docs: DataFrame, k: int, longs: int = 1) -> DataFrame:
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for group in groups_of(batch.column("text").to_pylist(), k):
+            for group in groups_of(values(batch.column("text")), k):
                 f = majority(group, longs)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(group))] + [pa.array(f[:, j].view("<i8")) for j in range(longs)], names)
                 done += len(group)
@@ -239,7 +239,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for group in groups_of(batch.column("text").to_pylist(), k):
+            for group in groups_of(values(batch.column("text")), k):
                 group = [np.unique(h) for h in group]
                 f, sizes = majority(group, LONGS), np.array([len(h) for h in group])
                 some = np.flatnonzero(sizes)
@@ -330,7 +330,7 @@ def sets_of(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             done = 0
-            for group in groups_of(batch.column("text").to_pylist(), k):
+            for group in groups_of(values(batch.column("text")), k):
                 group = [np.unique(h) for h in group]
                 ends = np.concatenate([[0], np.cumsum([len(h) for h in group])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("node").slice(done, len(group)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(group).view("<i8")))], ["node", "set"])
