@@ -414,9 +414,10 @@ def near_rows(docs: DataFrame, k: int = 5, similarity: float = SIMILARITY) -> Da
     first = F.min(F.struct(*KEY)).alias("row")
     reps = rows.groupBy("f0", "shingles").agg(first, F.first("n").alias("n"), F.first("keys").alias("keys"), *[F.first(c).alias(c + "_") for c in f[1:]])
     reps = materialise(reps.select(F.monotonically_increasing_id().alias("node"), "row", "shingles", "n", "keys", "f0", *[F.col(c + "_").alias(c) for c in f[1:]]), "near-nodes")
-    spread = reps.select("node", "n", *f, F.explode("keys").alias("bucket"))
+    spread = reps.select("node", "n", F.explode("keys").alias("bucket"))
     shared = materialise(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight")).where("members > 1"), "near-buckets")
-    inside = materialise(spread.join(shared, "bucket"), "near-members")
+    # Most keys are one text's alone, so only their narrow rows meet the buckets; fingerprints come to those that are left.
+    inside = materialise(spread.select("node", "bucket").join(shared, "bucket").join(reps.select("node", *f), "node"), "near-members")
     found = materialise(hubs(inside, most), "near-hubs")
     chains = found.where("b is null").select("bucket", "a")
     chains = chains.join(chains.groupBy("bucket").agg(F.min("a").alias("b")), "bucket").where("a <> b").select("a", "b")
